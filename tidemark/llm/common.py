@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 DOC_COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
@@ -22,6 +23,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def schema_and(df: DataFrame, **more: str) -> StructType:
+    """df's schema with further columns; df's own, which add() would change, stays as it is."""
+    return StructType([*df.schema.fields, *[StructField(n, DataType.fromDDL(t)) for n, t in more.items()]])
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """The five columns of documents, in their types; one that is missing is null."""
     have = set(df.columns)
