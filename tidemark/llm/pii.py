@@ -205,7 +205,7 @@ def redact(docs: DataFrame, model: Model | None = None, hidden_as: str = "<{}>")
     """
     own = documents_of(docs)
     sent = own.sparkSession.sparkContext.broadcast(model or trained())
-    names = [*own.columns, "pii_spans"]
+    columns = list(own.columns)
     kind_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def each(batches):
@@ -233,12 +233,12 @@ def redact(docs: DataFrame, model: Model | None = None, hidden_as: str = "<{}>")
                 texts.append("".join(parts) + text[at:])
                 lengths.append(len(texts[-1]))
                 listed[d] = [{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in spans]
-            arrays = {n: batch.column(n) for n in own.columns}
+            arrays = {n: batch.column(n) for n in columns}
             if texts:
                 mask = pa.array(changed)
                 arrays["text"] = pc.replace_with_mask(column, mask, pa.array(texts, column.type))
                 arrays["n_chars"] = pc.replace_with_mask(batch.column("n_chars"), mask, pa.array(lengths, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*arrays.values(), pa.array(listed, kind_type)], names)
+            yield pa.RecordBatch.from_arrays([*arrays.values(), pa.array(listed, kind_type)], [*columns, "pii_spans"])
 
     return own.mapInArrow(each, schema_and(own, pii_spans="array<struct<start:bigint,end:bigint,kind:string>>"))
 
