@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,43 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BLOOM_BITS, BLOOM_BLOCK, BLOOM_BYTES = 12, 1 << 16, 32 << 20
+
+
+def may_hold(keys: DataFrame, key: Column, most_bytes: int = BLOOM_BYTES) -> Callable[[Column], Column] | None:
+    """A test, true of every key (bigint) of keys and of few others, by a Bloom filter that every executor gets; None
+    where it would take more than most_bytes. It keeps rows that meet nothing out of the shuffle of an exact join."""
+    spark = keys.sparkSession
+    hashed = keys.select(key.alias("h"))
+    blocks = max(1, -(-hashed.count() * BLOOM_BITS // (8 * BLOOM_BLOCK)))
+    if blocks * BLOOM_BLOCK > most_bytes:
+        return None
+
+    def bits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = np.zeros(8 * BLOOM_BLOCK, np.uint8)
+        raw[_bloom_bits(pdf["h"].to_numpy(np.int64)).ravel()] = 1
+        return pd.DataFrame({"block": [int(key[0])], "raw": [np.packbits(raw, bitorder="little").tobytes()]})
+
+    made = hashed.withColumn("block", F.pmod("h", F.lit(blocks))).groupBy("block").applyInPandas(bits, "block long, raw binary").collect()
+    whole = np.zeros((blocks, BLOOM_BLOCK), np.uint8)
+    for r in made:
+        whole[r[0]] = np.frombuffer(r[1], np.uint8)
+    sent = spark.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        x = h.to_numpy(np.int64)
+        at = _bloom_bits(x)
+        return pd.Series(((sent.value[x % blocks, at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
+
+    return held
+
+
+def _bloom_bits(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.stack([(mix64(h.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(45)).astype(np.int64) for k in range(4)])
+
+
 def portable_words(text: Column) -> Column:
     """Lower-case runs of letters and digits, by expressions that DuckDB has too; none for null."""
     flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))

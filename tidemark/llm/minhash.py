@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, mix64, pick, read, shared_dir, stored, text_bytes, text_chunks, word_hashes
+from tidemark.llm.common import documents_of, may_hold, mix64, pick, read, shared_dir, stored, text_bytes, text_chunks, word_hashes
 
 WIDTH, RARE, THRESHOLD, BANDS, ROWS, SEED = 3, 1 / 128, 0.5, 20, 3, 11
 BLOCK_BYTES = 64 << 20
@@ -363,7 +363,10 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         i, h = pdf["i"].to_numpy(), pdf["h"].to_numpy()
         return pd.DataFrame({"ui": i[found[:, 0]], "uh": h[found[:, 0]], "vi": i[found[:, 1]], "vh": h[found[:, 1]]})
 
-    texts = own.select(_node().alias("node"), "text").join(placed, "node").select("task", F.col("root.i").alias("ri"), F.col("root.h").alias("rh"), F.col("node.i").alias("i"), F.col("node.h").alias("h"), "text")
+    texts = own.select(_node().alias("node"), "text")
+    if maybe := may_hold(members, F.xxhash64("node")):
+        texts = texts.where(maybe(F.xxhash64("node")))  # only texts to verify are shuffled
+    texts = texts.join(placed, "node").select("task", F.col("root.i").alias("ri"), F.col("root.h").alias("rh"), F.col("node.i").alias("i"), F.col("node.h").alias("h"), "text")
     verified = texts.dropDuplicates(["task", "i", "h"]) if _repeated(signed) else texts
     verified = verified.groupBy("task").applyInPandas(verify, "ui long, uh long, vi long, vh long")
     verified = verified.select(F.struct(F.col("ui").alias("i"), F.col("uh").alias("h")).alias("u"), F.struct(F.col("vi").alias("i"), F.col("vh").alias("h")).alias("v"))
@@ -382,7 +385,12 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     own = documents_of(docs)
     found = stored(groups(own, **how), "groups")
     keyed = own.withColumn("_node", _node())
-    out = keyed.join(found.where("node <> root").select(F.col("node").alias("_node")), "_node", "left_anti")
+    copies = found.where("node <> root").select(F.col("node").alias("_node"))
+    if maybe := may_hold(copies, F.xxhash64("_node")):
+        tested = keyed.withColumn("_maybe", maybe(F.xxhash64("_node")))  # only texts that may go are shuffled
+        out = tested.where("_maybe").join(copies, "_node", "left_anti").unionByName(tested.where("NOT _maybe")).drop("_maybe")
+    else:
+        out = keyed.join(copies, "_node", "left_anti")
     again = found.where("node = root AND n > 1").select(F.col("node").alias("_node"))
     if not again.limit(1).isEmpty():
         once = out.join(again, "_node", "left_semi").dropDuplicates(["_node"])
@@ -391,6 +399,6 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its group's least id, and whether it stays."""
+    """Every document with its group's least id, and whether it stays; rows of the same id and text count as one."""
     found = groups(read(spark, sf_dir, "documents"))
     return found.select(F.when(F.col("node.i") != _NULL_ID, F.col("node.i")).alias("doc_id"), F.when(F.col("root.i") != _NULL_ID, F.col("root.i")).alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
