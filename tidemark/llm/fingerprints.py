@@ -65,10 +65,10 @@ def op8_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(table: str, key: str, scaled: int) -> str:
     return f"""
-    SELECT {key}, n_shingles, list_sort(list_distinct(list_transform(list_filter(h, x -> x < '{format(2**64 // scaled, "016x")}'), x -> x[1:16]))) AS sketch
+    SELECT {key}, n_shingles, list_sort(list_distinct(list_transform(list_filter(h, lambda x: x < '{format(2**64 // scaled, "016x")}'), lambda x: x[1:16]))) AS sketch
     FROM (SELECT {key}, CAST(CASE WHEN len(w) > 0 THEN greatest(len(w) - {WIDTH - 1}, 1) ELSE 0 END AS BIGINT) AS n_shingles,
-        list_transform(range(1, CASE WHEN len(w) > 0 THEN greatest(len(w) - {WIDTH - 1}, 1) ELSE 0 END + 1), i -> md5(array_to_string(w[i:i + {WIDTH - 1}], ' '))) AS h
-      FROM (SELECT {key}, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), x -> x <> '') AS w FROM {table}))"""
+        list_transform(range(1, CASE WHEN len(w) > 0 THEN greatest(len(w) - {WIDTH - 1}, 1) ELSE 0 END + 1), lambda i: md5(array_to_string(w[i:i + {WIDTH - 1}], ' '))) AS h
+      FROM (SELECT {key}, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM {table}))"""
 
 
 ORACLE = {

@@ -112,12 +112,12 @@ ORACLE = {
       w AS (SELECT s, n, CAST(floor(x) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY floor(x) - x, s) <= {PERIOD} - (SELECT sum(floor(x)) FROM e) THEN 1 ELSE 0 END AS w FROM e),
       l AS (SELECT list(s ORDER BY s) AS names, list(w ORDER BY s) AS ws FROM w),
       edf AS (
-        SELECT -1 AS slot, CAST(0 AS BIGINT) AS pick, list_transform(ws, x -> CAST(0 AS BIGINT)) AS done, ws FROM l
+        SELECT -1 AS slot, CAST(0 AS BIGINT) AS pick, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS done, ws FROM l
         UNION ALL
-        SELECT slot, pick, list_transform(done, (x, i) -> x + CASE WHEN i = pick THEN 1 ELSE 0 END), ws
+        SELECT slot, pick, list_transform(done, lambda x, i: x + CASE WHEN i = pick THEN 1 ELSE 0 END), ws
         FROM (SELECT slot + 1 AS slot, done, ws,
-            list_min(list_transform(list_filter(range(1, len(ws) + 1), i -> done[i] < ws[i] AND (done[i] * {PERIOD}) // ws[i] <= slot + 1),
-              i -> (((done[i] + 1) * {PERIOD} + ws[i] - 1) // ws[i]) * 100000 + i)) % 100000 AS pick
+            list_min(list_transform(list_filter(range(1, len(ws) + 1), lambda i: done[i] < ws[i] AND (done[i] * {PERIOD}) // ws[i] <= slot + 1),
+              lambda i: (((done[i] + 1) * {PERIOD} + ws[i] - 1) // ws[i]) * 100000 + i)) % 100000 AS pick
           FROM edf WHERE slot < {PERIOD - 1})),
       plan AS (SELECT (SELECT names FROM l)[pick] AS s, done[pick] - 1 AS j, slot FROM edf WHERE slot >= 0),
       first_missing AS (SELECT min(((n // {BLOCK_DOCS}) // w) * {PERIOD} + slot) AS horizon FROM w JOIN plan USING (s) WHERE j = (n // {BLOCK_DOCS}) % w),
