@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, portable_words, read
+from tidemark.llm.common import pick, portable_words, read, stored
 
 WIDTH = 5
 SCALED = 16
@@ -31,18 +31,23 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return d.select(
         F.col("id").alias(id_col),
         F.when(F.col("n") > 0, F.greatest(F.col("n") - (width - 1), F.lit(1))).otherwise(0).cast("bigint").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.array_sort(F.array_distinct(kept))).otherwise(F.array().cast("array<string>")).alias("sketch"),
+        F.when(F.col("n") > 0, F.sort_array(F.array_distinct(kept))).otherwise(F.array().cast("array<string>")).alias("sketch"),
     )
 
 
 def merge(sketches: DataFrame, by: str) -> DataFrame:
     """One sketch for each value of `by`: the sketch that all its documents' shingles would have together."""
-    return sketches.groupBy(by).agg(F.sum("n_shingles").alias("n_shingles"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))).alias("sketch"))
+    return sketches.groupBy(by).agg(F.sum("n_shingles").alias("n_shingles"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("sketch")))).alias("sketch"))
 
 
 def containment(parts: DataFrame, whole: DataFrame, part_id: str, whole_id: str, least: float = 0.5) -> DataFrame:
     """(part_id, whole_id, shared, containment) of every pair in which at least `least` of the part's sketch lies in the
-    whole's. Repeated rows of one id count once; parts with an empty sketch and null ids pair with nothing."""
+    whole's. Repeated rows of one id count once; parts with an empty sketch and null ids pair with nothing.
+
+    Both sketches are written to the shared folder first: put into one plan, the optimiser would move the splitting of a
+    text into the hashing of each of its shingles.
+    """
+    parts, whole = stored(parts, "parts"), stored(whole, "whole")
     a = parts.where(F.col(part_id).isNotNull()).select(F.col(part_id).alias("a"), F.explode("sketch").alias("h")).distinct()
     b = whole.where(F.col(whole_id).isNotNull()).select(F.col(whole_id).alias("b"), F.explode("sketch").alias("h")).distinct()
     size = a.groupBy("a").agg(F.count("*").alias("n"))

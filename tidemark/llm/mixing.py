@@ -17,8 +17,9 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, read
+from tidemark.llm.common import documents_of, pick, read
 
+ADDED = ("mix_rank", "mix_block", "mix_slot", "mix_position", "in_mix")
 PERIOD, BLOCK_DOCS, ALPHA, BUCKET_ROWS = 1000, 8, 0.5, 200_000
 
 
@@ -65,9 +66,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     first slot whose source has no full block left: there the proportions are as promised, with no source repeated.
     Null is a source of its own; weights that name no source of docs are ignored, sources without a weight are out of
     the mix and have no slot. A null id ranks as an empty one; repeated rows rank one after the other. An empty table
-    gives no rows.
+    gives no rows. Columns of docs that are named like those given, or begin with an underscore, are left out.
     """
     spark = docs.sparkSession
+    docs = pick(docs, *[c for c in docs.columns if not c.startswith("_") and c.lower() not in ADDED])
     d = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = {r[0]: r[1] for r in d.groupBy("_source").count().collect()}
     given = {s: float(n) ** alpha for s, n in sizes.items()} if weights is None else {("null" if s is None else f"={s}"): float(x) for s, x in weights.items() if x > 0}

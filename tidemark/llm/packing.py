@@ -91,6 +91,7 @@ def pack(df: DataFrame, id_col: str, length: Column, sizes: tuple[int, ...] = LE
     groups = max(1, -(-df.count() // group_rows))
     items = items.withColumn("pack_group", F.pmod(F.xxhash64("id", "n"), F.lit(groups)).cast("int"))
     kind = dict(items.dtypes)["id"]
+    named = items.withColumn("id", F.col("id").cast("string"))  # pandas would make a double of a bigint with nulls
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "id"], ascending=[False, True], kind="stable")  # the same bins however the rows came
@@ -103,7 +104,7 @@ def pack(df: DataFrame, id_col: str, length: Column, sizes: tuple[int, ...] = LE
         names = np.char.add(f"{int(key[0])}-", bins.astype(str))
         return pd.DataFrame({"id": pdf["id"].iloc[at].to_numpy(), "piece": piece, "start": piece * top, "length": size, "bin_id": names, "offset": offset, "capacity": capacity})
 
-    packed = items.where("n > 0").groupBy("pack_group").applyInPandas(one, f"id {kind}, piece bigint, start bigint, length bigint, bin_id string, offset bigint, capacity bigint")
+    packed = named.where("n > 0").groupBy("pack_group").applyInPandas(one, "id string, piece bigint, start bigint, length bigint, bin_id string, offset bigint, capacity bigint").withColumn("id", F.col("id").cast(kind))
     none = items.where("n = 0").selectExpr("id", "0L piece", "0L start", "0L length", "cast(null as string) bin_id", "cast(null as bigint) offset", "cast(null as bigint) capacity")
     return packed.unionByName(none).withColumnRenamed("id", id_col)
 

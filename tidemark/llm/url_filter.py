@@ -123,8 +123,9 @@ def probe(df: DataFrame, id_col: str, url_col: str, filters: DataFrame, shards:
         made = _levels(levels[["shard", "level", "k", "n_bits", "bits"]].itertuples(index=False, name=None))
         return pd.DataFrame({"id": rows["id"], "listed": in_cascade(rows["h1"].to_numpy(np.int64), rows["h2"].to_numpy(np.int64), made)})
 
-    salted = keyed.where("h1 IS NOT NULL").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(meet, f"id {kind}, listed boolean")
-    return salted.unionByName(keyed.where("h1 IS NULL").select("id", F.lit(False).alias("listed"))).select(F.col("id").alias(id_col), "listed")
+    named = keyed.where("h1 IS NOT NULL").withColumn("id", F.col("id").cast("string"))  # pandas would make a double of a bigint with nulls
+    met = named.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(meet, "id string, listed boolean").withColumn("id", F.col("id").cast(kind))
+    return met.unionByName(keyed.where("h1 IS NULL").select("id", F.lit(False).alias("listed"))).select(F.col("id").alias(id_col), "listed")
 
 
 def host_listed(url: Column) -> Column:
