@@ -1,8 +1,11 @@
 """Operators, sources, sinks, scorers and streams on small tables."""
 
 import io
+import json
+import threading
 import zlib
 from datetime import date
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 from tidemark import cli, plans, sinks, streaming
 from tidemark.operators import aggregates, filters, joins, sampling, updates, windows
 from tidemark.schemas import SCHEMAS
-from tidemark.scoring import Lexicon, blur_score, content_ratio, gray, pixels, score, text_lengths
-from tidemark.sources import files, images, labelled_images, market, page_urls, read_any, table_years, years
+from tidemark.scoring import Lexicon, blur_score, content_ratio, gray, pixels, score, text_lengths, train_head
+from tidemark.sources import PageSource, files, images, labelled_images, market, page_urls, read_any, table_years, years
 from tidemark.sources.xlsx import build, parse
 
 
@@ -156,6 +159,43 @@ def test_scorers(spark):
     assert text_lengths(df.select(F.encode("t", "utf-8").alias("data")), fails).agg(F.sum("text_length")).first()[0] == 0
 
 
+def test_first_existing(spark):
+    df = spark.createDataFrame([("a", "b"), ("x", "b"), ("x", "y"), (None, "b"), ("a", "b")], "p string, q string")
+    listing = spark.createDataFrame([("a",), ("b",), ("b",)], "path string")
+    got = joins.first_existing(df, listing, F.col("p"), F.col("q")).select("p", "q", "found")
+    assert sorted(rows(got), key=str) == sorted([("a", "b", "a"), ("a", "b", "a"), ("x", "b", "b"), ("x", "y", None), (None, "b", "b")], key=str)
+
+
+def test_pages_by_http(spark):
+    class Handler(BaseHTTPRequestHandler):
+        seen = 0
+
+        def do_GET(self):
+            Handler.seen += 1
+            code = 404 if self.path == "/none" else 503 if self.path == "/busy" and Handler.seen < 3 else 200
+            self.send_response(code)
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write(b"<p>hi</p>")
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(PageSource)
+    got = spark.read.format("pages").option("urls", json.dumps([f"{base}/busy", f"{base}/none"])).option("wait", "0").load().collect()
+    server.shutdown()
+    assert {r["url"][len(base) :]: (r["status"], r["body"] is not None) for r in got} == {"/busy": (200, True), "/none": (404, False)}
+
+
+def test_trained_head(spark):
+    df = spark.createDataFrame([([float(k), 1.0], int(k > 10)) for k in range(20)], "x array<double>, y int")
+    got = train_head(df, "x", "y")
+    assert got.summary.accuracy > 0.8
+
+
 def test_stream_equals_table(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01 01:00:00", 0.2, 0, 0.5), ("2024-01-01 05:00:00", 0.9, 1, 0.7), ("2024-01-02 00:00:00", 0.4, 0, None)], "ts string, negative_likelihood double, predicted_class int, quality_score double").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(f"{tmp_path}/in")

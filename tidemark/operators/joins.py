@@ -76,3 +76,12 @@ def with_likelihood(df: DataFrame, *names: str) -> DataFrame:
     """Weighted{X}_likelihood, where it is missing, is {X}_likelihood."""
     add = {f"Weighted{n}_likelihood": F.col(f"{n}_likelihood") for n in names if f"Weighted{n}_likelihood" not in df.columns and f"{n}_likelihood" in df.columns}
     return df.withColumns(add) if add else df
+
+
+def first_existing(df: DataFrame, listing: DataFrame, *candidates: Column, path: str = "path") -> DataFrame:
+    """df with `found`: the first of the candidate paths that the listing has, null for none. One join, on all of them."""
+    tried = df.withColumn("_row", F.xxhash64(*candidates)).withColumn("_tried", F.array(*candidates))
+    each = tried.select(F.posexplode(F.array_compact(F.col("_tried"))).alias("_n", "_path"), "_row").distinct()
+    there = listing.select(F.col(path).alias("_path")).distinct()
+    best = each.join(there, "_path").groupBy("_row").agg(F.min_by("_path", "_n").alias("found"))
+    return tried.join(best, "_row", "left").drop("_row", "_tried")
