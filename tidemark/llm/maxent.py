@@ -81,9 +81,9 @@ def rows_of(feature: np.ndarray, klass: np.ndarray, model: Model) -> tuple[np.nd
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+    z = np.take(weights, rows[:, 0], axis=0)
     for f in range(1, rows.shape[1]):
-        z += weights[rows[:, f]]
+        z += np.take(weights, rows[:, f], axis=0)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
@@ -103,6 +103,23 @@ def log2_probabilities(model: Model, words: np.ndarray, starts: np.ndarray, batc
     return out
 
 
+def _sums(x: np.ndarray, first: np.ndarray, count: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sums of runs of rows. Most runs are short, and are added up a row of all of them at a time; what long ones have
+    beyond `few` rows is left to reduceat, which is slow only by run."""
+    out = np.take(x, first, axis=0)
+    for k in range(1, few):
+        on = np.flatnonzero(count > k)
+        if not len(on):
+            return out
+        out[on] += np.take(x, first[on] + k, axis=0)
+    on = np.flatnonzero(count > few)
+    if len(on):
+        rest = count[on] - few
+        at = np.repeat(first[on] + few - np.cumsum(rest) + rest, rest) + np.arange(int(rest.sum()))
+        out[on] += np.add.reduceat(np.take(x, at, axis=0), np.cumsum(rest) - rest, axis=0)
+    return out
+
+
 def _descend(weights: np.ndarray, past: np.ndarray, touched: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of AdaGrad on the positions of a batch; past: sums of squares, touched: positions by row."""
     grad = _softmax(weights, rows)
@@ -112,12 +129,18 @@ def _descend(weights: np.ndarray, past: np.ndarray, touched: np.ndarray, rows: n
     ordered = flat[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     hit = ordered[first]
-    step = np.add.reduceat(grad[order // rows.shape[1]], first, axis=0)
-    count = np.diff(np.append(first, len(flat))).astype(np.float32)
+    count = np.diff(np.append(first, len(flat)))
+    step = _sums(np.take(grad, order // rows.shape[1], axis=0), first, count)
     touched[hit] += count
-    step /= np.sqrt(count)[:, None]  # a row that many positions share moves further, but not in proportion
-    past[hit] += step * step
-    weights[hit] -= rate * step / np.sqrt(past[hit] + 1e-4)
+    step /= np.sqrt(count, dtype=np.float32)[:, None]  # a row that many positions share moves further, but not in proportion
+    seen = np.take(past, hit, axis=0)
+    seen += step * step
+    past[hit] = seen
+    seen += 1e-4
+    np.sqrt(seen, out=seen)
+    step *= rate
+    step /= seen
+    weights[hit] -= step
 
 
 class Shard:
