@@ -97,12 +97,13 @@ def similar_pairs(df: DataFrame, id_col: str, vector_col: str, threshold: float
         left = np.flatnonzero(chunk == i)
         right = left if i == j else np.flatnonzero(chunk == j)
         found = []
-        step = max(1, 4_000_000 // max(1, len(right)))
+        one = np.ones(len(y), np.float32)
+        rows_in, columns_in = np.stack([*(-2 * y.T), norm, one], axis=1)[left], np.stack([*y.T, one, norm])[:, right]  # their product is the distances
+        step = max(1, 1_000_000 // max(1, len(right)))
         for s in range(0, len(left), step):
-            a = left[s : s + step]
-            d = norm[a][:, None] + norm[right][None, :] - 2 * (y[a] @ y[right].T)
-            p, q = np.nonzero(d <= budget[b] + 1e-4)
-            p, q = a[p], right[q]
+            from_ = s if i == j else 0  # pairs before have been seen from the other side
+            p, q = np.nonzero(rows_in[s : s + step] @ columns_in[:, from_:] <= np.float32(budget[b] + 1e-4))
+            p, q = left[s + p], right[from_ + q]
             keep = ~(visits[p] & visits[q])
             if i == j:
                 keep &= p < q
