@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read, shared_dir
 
-THRESHOLD, BLOCKS, GRID, CELL_ROWS, SEED = 0.9, 8, 2, 6_000, 7
+THRESHOLD, BLOCKS, GRID, CELL_ROWS, SEED = 0.9, 8, 2, 40_000, 7
 SLACK = 1e-5
 
 
