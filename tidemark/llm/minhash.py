@@ -12,8 +12,8 @@ of their weighted Jaccard similarity. BANDS bands of ROWS samples are hashed. Do
 aside first; the rest are linked to the least document of each band that they share. The linked components are brought
 together and verified by exact similarity, whole: within one, a document is compared with all that no one has reached
 yet, over the shingles they share, so a group of copies costs about its own size and no pair is capped. Components too
-large for one task are split into chunks, and each pair of chunks is verified. Groups are the components of the
-verified pairs.
+large for one task are split into chunks; after each chunk has been verified with the component's root, what isn't
+joined to the root is compared with all chunks. Groups are the components of the verified pairs.
 """
 
 from __future__ import annotations
@@ -351,11 +351,6 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     members = stored(members.join(bulk, "root").withColumn("chunks", F.ceil(F.col("bytes") / chunk_bytes).cast("int")), "members")
     small = members.where("chunks <= 1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = int(max(1, -(-small // task_bytes)))
-    # a component that fits one task shares it with others; of a larger one every pair of chunks is a task
-    placed = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.greatest("chunks", F.lit(1))).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("chunks", F.lit(1)) - 1)))
-    placed = placed.select("node", "root", F.when(F.col("chunks") <= 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(tasks)))).otherwise(F.concat_ws("_", "root.i", "root.h", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("task"))
-
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ri", "rh", "i", "h"], kind="stable").reset_index(drop=True)
         component = pdf.groupby(["ri", "rh"], sort=False).ngroup().to_numpy()
@@ -366,19 +361,39 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     texts = own.select(_node().alias("node"), "text")
     if maybe := may_hold(members, F.xxhash64("node")):
         texts = texts.where(maybe(F.xxhash64("node")))  # only texts to verify are shuffled
-    texts = texts.join(placed, "node").select("task", F.col("root.i").alias("ri"), F.col("root.h").alias("rh"), F.col("node.i").alias("i"), F.col("node.h").alias("h"), "text")
-    verified = texts.dropDuplicates(["task", "i", "h"]) if _repeated(signed) else texts
-    verified = verified.groupBy("task").applyInPandas(verify, "ui long, uh long, vi long, vh long")
-    verified = verified.select(F.struct(F.col("ui").alias("i"), F.col("uh").alias("h")).alias("u"), F.struct(F.col("vi").alias("i"), F.col("vh").alias("h")).alias("v"))
-    roots = components(equal.unionByName(verified))
+    repeated = not signed.groupBy("node").count().where("count > 1").limit(1).isEmpty()
+
+    def verified(placed: DataFrame) -> DataFrame:
+        """Edges (u, v) of the tasks of placed (node, root, task)."""
+        met = texts.join(placed, "node").select("task", F.col("root.i").alias("ri"), F.col("root.h").alias("rh"), F.col("node.i").alias("i"), F.col("node.h").alias("h"), "text")
+        met = met.dropDuplicates(["task", "i", "h"]) if repeated else met
+        found = met.groupBy("task").applyInPandas(verify, "ui long, uh long, vi long, vh long")
+        return found.select(F.struct(F.col("ui").alias("i"), F.col("uh").alias("h")).alias("u"), F.struct(F.col("vi").alias("i"), F.col("vh").alias("h")).alias("v"))
+
+    def task(*parts: str) -> F.Column:
+        return F.concat_ws("_", "root.i", "root.h", *parts).alias("task")
+
+    # components that fit one task share it with others; of a larger one each chunk is a task, with the root's text too
+    whole = members.where("chunks <= 1").select("node", "root", F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(tasks))).alias("task"))
+    large = members.where("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    heads = large.select("root", "chunks").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunked = large.select("node", "root", task("chunk")).unionByName(heads.select(F.col("root").alias("node"), "root", task("chunk"))).distinct()
+    edges = stored(verified(whole.unionByName(chunked)), "verified")
+    if not large.limit(1).isEmpty():
+        # what isn't joined to the root by now is compared with every chunk; the rest is one group already
+        marked = large.join(components(edges).withColumnRenamed("root", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+        marked = stored(marked.join(marked.where("node = root").select("root", F.col("joined").alias("head")), "root"), "marked")
+        loose = marked.where("joined <> head")
+        share = loose.groupBy("root").agg(F.ceil(F.sum("size") / chunk_bytes).cast("int").alias("parts"))
+        loose = loose.join(share, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+        loose = loose.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "root", task("chunk", "part"))
+        against = large.join(share, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", task("chunk", "part"))
+        edges = edges.unionByName(verified(loose.unionByName(against).distinct()))
+    roots = components(equal.unionByName(edges))
     every = signed.groupBy("node").agg(F.count("*").alias("n"))
     return every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _repeated(signed: DataFrame) -> bool:
-    return not signed.groupBy("node").count().where("count > 1").limit(1).isEmpty()
-
-
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The documents without all but one of each group, the one of the least id (ties by hash of the text); of repeated
     rows one stays, those without words too."""
