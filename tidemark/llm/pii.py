@@ -182,16 +182,17 @@ def spans_of(tags: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int
 
 def reconciled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of a text, with every other occurrence (bounded by no letter or digit) of what they hold; none overlap."""
-    spans = [(a, b, k) for a, b, k in spans if b - a > 3]  # no value of any kind is as short
-    taken = [(a, b) for a, b, _ in spans]
-    out = list(spans)
-    for value, kind in {text[a:b]: k for a, b, k in spans}.items():
+    out = [(a, b, k) for a, b, k in spans if b - a > 3]  # no value of any kind is as short
+    taken = bytearray(len(text))
+    for a, b, _ in out:
+        taken[a:b] = b"\1" * (b - a)
+    for value, kind in {text[a:b]: k for a, b, k in out}.items():
         at = text.find(value)
         while at >= 0:
             end = at + len(value)
-            if not (text[at - 1 : at].isalnum() and value[0].isalnum()) and not (text[end : end + 1].isalnum() and value[-1].isalnum()) and not any(a < end and at < b for a, b in taken):
+            if not (text[at - 1 : at].isalnum() and value[0].isalnum()) and not (text[end : end + 1].isalnum() and value[-1].isalnum()) and not any(taken[at:end]):
                 out.append((at, end, kind))
-                taken.append((at, end))
+                taken[at:end] = b"\1" * (end - at)
             at = text.find(value, end)
     return sorted(out)
 
