@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents_of, pick, read
 
 ADDED = ("mix_rank", "mix_block", "mix_slot", "mix_position", "in_mix")
-PERIOD, BLOCK_DOCS, ALPHA, BUCKET_ROWS = 1000, 8, 0.5, 200_000
+PERIOD, BLOCK_DOCS, ALPHA, BUCKET_ROWS = 1000, 8, 0.5, 20_000
 
 
 def integer_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
