@@ -101,6 +101,15 @@ def test_mix_keeps_to_its_shares(spark, odd):
     assert mixing.integer_weights({"a": 1e9, "b": 1.0}, 10) == {"a": 9, "b": 1}
 
 
+def test_mixed_keeps_all_documents(spark):
+    docs = spark.range(2003).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 1000, "a").when(F.col("id") < 2000, "b").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    got = [r["doc_id"] for r in mixing.mixed(docs).collect()]  # the null source has 3 documents: no full block
+    assert sorted(got) == list(range(2003))
+    ahead = np.cumsum([1 if i < 1000 else -1 if i < 2000 else 0 for i in got])
+    assert abs(ahead).max() <= 2 * mixing.BLOCK_DOCS
+    assert {r["doc_id"] for r in mixing.mixed(docs, weights={"a": 1.0}).collect()} == set(range(1000))
+
+
 # ---------------------------------------------------------------- 4
 
 

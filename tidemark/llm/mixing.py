@@ -96,9 +96,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents in the mix, sorted by their place in it."""
+    """All documents of sources with a weight, sorted by their place in the mix. A source that has run out leaves its
+    slots idle, so the others go on in their proportions among each other; none is dropped."""
     own = documents_of(docs)
-    return mix(own, **how).where("in_mix").orderBy("mix_position").select(*own.columns)
+    return mix(own, **how).where("mix_position IS NOT NULL").orderBy("mix_position").select(*own.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
