@@ -158,6 +158,29 @@ def test_maxent_equals_a_plain_softmax():
     assert (feature[0, 1:] == maxent.contexts(*words_of("z"))[0, 1:]).all() and (feature[6] == feature[0]).all()
 
 
+def test_maxent_tells_rare_words_apart(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(3000)]  # word k comes about 1 / (k + 1) of the time, and once at least
+    drawn = rng.choice(words, 20_000, p=(1 / np.arange(1, 3001)) / (1 / np.arange(1, 3001)).sum()).tolist() + words
+    texts = [" ".join(drawn[i : i + 500]) for i in range(0, len(drawn), 500)]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = maxent.trained(train)
+    hashes, count = np.unique(words_of(" ".join(drawn))[0], return_counts=True)
+    place = model.places(hashes)
+    first = (maxent.CLASSES - maxent.TAIL_CLASSES) * maxent.IN_CLASS
+    own = np.bincount(place, count, maxent.CLASSES * maxent.IN_CLASS)
+    # alone in a text each word has the same context; all the words' and the unseen ones' probabilities sum to one
+    got = {r[0]: r["bits"] for r in maxent.score(spark.createDataFrame([*enumerate(words), (9000, "neverseen")], "doc_id bigint, text string"), model).collect()}
+    of = [words_of(w)[0][0] for w in words]
+    plain = {h: maxent.log2_probabilities(model, np.array([h]), np.array([0, 1]))[0] for h in of}
+    at = dict(zip(hashes, zip(place, count, strict=True), strict=True))
+    for k, h in enumerate(of):
+        p, n = at[h]
+        assert got[k] == pytest.approx(-(plain[h] + (np.log2(n / (own[p] + 1)) if p >= first else 0)), abs=2e-3)
+    assert (place >= first).sum() == 3000 - first and got[9000] > 0
+    assert 0.9 < sum(2.0 ** -got[k] for k in range(3000)) <= 1 + 1e-3
+
+
 # ---------------------------------------------------------------- 5
 
 

@@ -3,18 +3,22 @@
 P(word | context) = P(class | context) P(word | class, context). Active features of a position are a bias, the word
 before, the two words before, and, skipping, the second and the third word before; each is hashed to a row of weights,
 one for each class, and together with the class to a row of one for each word of the class. The commonest words of the
-corpus, counted over all of it, have classes by rank; all others share hashed places in the remaining classes.
+corpus, counted over all of it, have classes by rank; all others share hashed places in the remaining classes, and have
+P(word | place) as a further factor: n / (N + 1), of the word's and its place's counts over the whole corpus. The 1 is
+for all words that the corpus doesn't have, so the probabilities of a place's words sum to one.
 
 Training goes over every document once, in ROUNDS disjoint parts. In a round each shard of text starts from the weights
 sent out, descends the gradient of its own batches with AdaGrad, and gives back the change of the rows that it touched
 with how often it did; changes are averaged by that over all shards, in a shuffle by blocks of rows. So what is
 gathered grows with the corpus, while the model, of a fixed size, can be sent to every executor. Scoring is one pass
-without a shuffle: rows of weights are gathered for a batch of positions, added up and normalised in numpy.
+over the texts: rows of weights are gathered for a batch of positions, added up and normalised in numpy. The counts of
+all words don't fit an executor: they are joined to the distinct words of each run of texts, and go back to the run.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,23 +26,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, pick, read, schema_and, shared_dir, text_bytes, text_chunks, word_hashes
+from tidemark.llm.common import mix64, pick, read, schema_and, shared_dir, stored, text_bytes, text_chunks, word_hashes
 
 CLASSES, IN_CLASS, TAIL_CLASSES = 32, 32, 8
 CLASS_ROWS, WORD_ROWS, FEATURES = 1 << 14, 1 << 15, 5
 ROUNDS, BATCH, RATE, SHARD_BYTES = 2, 4096, 0.1, 8 << 20
-BLOCK_ROWS = 1024
+BLOCK_ROWS, RUN_BYTES = 1024, 8 << 20
 START = np.uint64(0x5851F42D4C957F2D)  # stands for the words before a text
 
 
 @dataclass
 class Model:
-    """own: sorted hashes of words with places of their own, place: theirs; by_class and by_word: rows of weights."""
+    """own: sorted hashes of words with places of their own, place: theirs; by_class and by_word: rows of weights.
+    rest: (word, n) of all other words, on the driver only; held: the sum of n of each of their places."""
 
     own: np.ndarray
     place: np.ndarray
     by_class: np.ndarray
     by_word: np.ndarray
+    rest: DataFrame | None = None
+    held: np.ndarray | None = None
 
     @classmethod
     def of(cls, ranked: np.ndarray, class_rows: int = CLASS_ROWS, word_rows: int = WORD_ROWS) -> Model:
@@ -189,9 +196,14 @@ def trained(docs: DataFrame, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTE
     spark = docs.sparkSession
     shared_dir(spark)
     texts = pick(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("part"), F.col("text").cast("string").alias("text"))
-    own = (CLASSES - TAIL_CLASSES) * IN_CLASS
-    ranked = word_counts(texts.select("text")).orderBy(F.desc("n"), "word").limit(own).toPandas()["word"].to_numpy(np.int64).view(np.uint64)
-    model = Model.of(ranked)
+    own, shared = (CLASSES - TAIL_CLASSES) * IN_CLASS, TAIL_CLASSES * IN_CLASS
+    counts = stored(word_counts(texts.select("text")), "words")
+    ranked = counts.orderBy(F.desc("n"), "word").limit(own).toPandas()["word"].to_numpy(np.int64)
+    rest = counts.join(F.broadcast(spark.createDataFrame([(int(w),) for w in ranked], "word long")), "word", "left_anti")
+    held = np.zeros(shared)
+    for place, n in rest.groupBy((F.shiftrightunsigned("word", 20) % shared).alias("place")).agg(F.sum("n")).collect():
+        held[place] = n
+    model = Model.of(ranked.view(np.uint64))
     for part in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
@@ -232,7 +244,32 @@ def trained(docs: DataFrame, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTE
             w = now[m]
             w[b : b + BLOCK_ROWS] += np.frombuffer(change, np.float32).reshape(-1, w.shape[1])[: len(w) - b]
         model = Model(model.own, model.place, *now)
-    return model
+    return replace(model, rest=rest, held=held)
+
+
+def counted(scored: DataFrame, rest: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, n_words, bits): bits of runs of texts less log2 n of their words in rest, the other part of P(word | place)."""
+
+    def listed(batches):
+        for batch in batches:
+            for run, words in zip(batch.column(0), batch.column(1), strict=True):
+                w = np.frombuffer(words.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([run.as_py()] * len(w), pa.string()), pa.array(w), pa.array(np.arange(len(w), dtype=np.int32))], ["run", "word", "k"])
+
+    def less(texts: pa.Table, found: pa.Table) -> pa.Table:
+        k, n = [found.column(c).to_numpy() for c in ("k", "n")]
+        lg = np.zeros(int(k.max()) + 1 if len(k) else 0)
+        lg[k] = np.log2(n)
+        bits = []
+        for b, at in zip(texts.column("bits").to_pylist(), texts.column("at").to_pylist(), strict=True):
+            at = np.frombuffer(at, np.int32)
+            bits.append(b - float(lg[at[at < len(lg)]].sum()))  # a word without a count has the place's 1
+        return pa.table([texts.column(id_col), texts.column("n_words"), pa.array(bits, pa.float64())], [id_col, "n_words", "bits"])
+
+    words = scored.where("words IS NOT NULL").select("run", "words").mapInArrow(listed, "run string, word long, k int")
+    found = words.join(rest, "word").select(F.col("run").alias("_run"), "k", "n")
+    texts = scored.select(id_col, "n_words", "bits", F.col("run").alias("_run"), "at")
+    return texts.groupBy("_run").cogroup(found.groupBy("_run")).applyInArrow(less, scored.select(id_col, "n_words", "bits").schema)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -240,21 +277,50 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
 
     Null, empty and wordless texts have 0 words and bits, and null for the rest. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
     own = pick(docs, id_col, "text").withColumn("text", F.col("text").cast("string"))
+    names = [id_col, "n_words", "bits", "run", "at", "words"]
 
     def each(batches):
+        """Rows of runs of texts: at has the numbers of a text's words in words, which only a run's first row has."""
+        model, first = sent.value, (CLASSES - TAIL_CLASSES) * IN_CLASS
+
+        def given(run):
+            if not run:
+                return
+            words, at = np.unique(np.concatenate([x[3] for x in run]), return_inverse=True)
+            sizes = np.concatenate([x[4] for x in run])
+            cut = np.cumsum(np.r_[0, sizes])
+            at, name = at.astype(np.int32), uuid.uuid4().hex
+            columns = [
+                pa.concat_arrays([x[0] for x in run]), pa.array(np.concatenate([x[1] for x in run])), pa.array(np.concatenate([x[2] for x in run])), pa.array([name] * len(sizes)),
+                pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([words.tobytes(), *[None] * (len(sizes) - 1)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+        run, size = [], 0
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            n, bits = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1)
             for i, j in text_chunks(off):
                 words, starts = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                total = np.zeros(len(words) + 1)
-                np.cumsum(log2_probabilities(sent.value, words, starts), out=total[1:])
-                n[i:j], bits[i:j] = np.diff(starts), -(total[starts[1:]] - total[starts[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(bits)], [id_col, "n_words", "bits"])
-
-    scored = own.mapInArrow(each, schema_and(own.select(id_col), n_words="bigint", bits="double"))
+                lg = log2_probabilities(model, words, starts)
+                place = model.places(words)
+                shared = place >= first if model.held is not None else np.zeros(len(words), bool)
+                if shared.any():
+                    lg[shared] -= np.log2(model.held[place[shared] - first] + 1)
+                total, before = np.zeros(len(words) + 1), np.zeros(len(words) + 1, np.int64)
+                np.cumsum(lg, out=total[1:])
+                np.cumsum(shared, out=before[1:])
+                run.append((batch.column(0).slice(i, j - i), np.diff(starts), -(total[starts[1:]] - total[starts[:-1]]), words[shared], before[starts[1:]] - before[starts[:-1]]))
+                size += int(off[j] - off[i])
+                if size >= RUN_BYTES:
+                    yield from given(run)
+                    run, size = [], 0
+        yield from given(run)
+
+    scored = own.mapInArrow(each, schema_and(own.select(id_col), n_words="bigint", bits="double", run="string", at="binary", words="binary"))
+    if model.rest is not None:
+        scored = counted(stored(scored, "scored"), model.rest, id_col)
     rate = F.when(F.col("n_words") > 0, F.col("bits") / F.col("n_words"))
     return scored.select(id_col, "n_words", F.round("bits", 3).alias("bits"), F.round(rate, 6).alias("bits_a_word"), F.round(F.pow(F.lit(2.0), rate), 4).alias("perplexity"))
 
