@@ -239,6 +239,18 @@ def test_minhash_equals_brute_force(spark):
     assert len(set(got[k] for k in range(len(texts) - 12, len(texts)))) == 12  # a shared passage makes no copies
 
 
+def test_minhash_weighs_by_every_document_frequency(spark):
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{i}" for i in range(300))  # 14 of 3,014 documents have it: fewer than 1/128
+    texts = [passage + " " + " ".join(f"q{k}r{i}" for i in range(130)) for k in range(14)]
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 12)) for _ in range(3000)]
+    assert brute_groups(texts[:14] + texts[14:40], rare=1.0) != list(range(40))  # all alike where all shingles weigh the same
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for how in ({}, {"block_bytes": 30_000}):
+        got = [r["root"]["i"] == r["node"]["i"] for r in minhash.groups(df, **how).collect()]
+        assert len(got) == 3014 and all(got)
+
+
 def test_samples_agree_as_often_as_vectors_are_alike():
     rng = np.random.default_rng(2)
     shingle = np.arange(400, dtype=np.uint64) * np.uint64(77777)

@@ -1,11 +1,9 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-A document is a vector of shingles (runs of WIDTH words), each weighing its count times ln(1 + N / max(df, RARE * N)):
-what fewer than the share RARE of all documents have counts as equally rare, at any size of the corpus. So exact
-document frequencies are needed only of shingles that are common, of which there can be no more than a document's mean
-number of shingles over RARE. They are found in two passes over all texts: the first gives, for each block of
-documents, the shingles that at least a quarter of RARE of it has (one that is common overall must be so in enough
-blocks); what could still be common is then counted exactly.
+A document is a vector of shingles (runs of WIDTH words), each weighing its count times ln(1 + N / df), df being the
+number of all N documents that have it. Every shingle's df is counted: documents are in blocks by hash, each block sends
+its distinct shingles by range of hash, and gets back the df of those that it isn't alone with. No table of them is ever
+on the driver or sent to all.
 
 Each sample of consistent weighted sampling is a pair (shingle, level) that two documents share with the probability
 of their weighted Jaccard similarity. BANDS bands of ROWS samples are hashed. Documents with equal vectors are set
@@ -28,12 +26,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents_of, may_hold, mix64, pick, read, shared_dir, stored, text_bytes, text_chunks, word_hashes
 
-WIDTH, RARE, THRESHOLD, BANDS, ROWS, SEED = 3, 1 / 128, 0.5, 20, 3, 11
-BLOCK_BYTES = 64 << 20
+WIDTH, RARE, THRESHOLD, BANDS, ROWS, SEED = 3, 0.0, 0.5, 20, 3, 11  # RARE: a share of documents below which shingles weigh the same
+BLOCK_BYTES = 8 << 20
 TASK_BYTES = 8 << 20
 CHUNK_BYTES = 16 << 20
 NODE = "struct<i:bigint,h:bigint>"
 _NULL_ID = -(2**63)
+_ARROW_NODE = pa.struct([("i", pa.int64()), ("h", pa.int64())])  # without "not null", which Spark would refuse
 
 
 # ---------------------------------------------------------------- vectors
@@ -65,7 +64,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.
 
 
 class Weights:
-    """Weights of shingles: common are sorted shingles with their documents' numbers among n documents."""
+    """Weights of shingles: common are sorted shingles with their documents' numbers among n documents; others have one."""
 
     def __init__(self, n: int, common: np.ndarray, df: np.ndarray, rare: float = RARE):
         self.common, least = common, max(rare * n, 1.0)
@@ -154,54 +153,48 @@ def vectors(column, width: int, weights: Weights | None):
 # ---------------------------------------------------------------- document frequencies
 
 
-def document_weights(docs: DataFrame, width: int = WIDTH, rare: float = RARE, block_bytes: int = BLOCK_BYTES) -> Weights:
-    """The weights that all the texts of docs give."""
-
-    def often(batches):
-        def flush():
-            s = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(s)))
-            keep = count >= max(1.0, rare / 4 * n)
-            total = pa.array([n], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), total, total], ["s", "c", "n"])
-            own = pa.array(s[first][keep].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([own, pa.array(count[keep]), pa.array(np.full(len(own), n))], ["s", "c", "n"])
-
-        held, n, size = [], 0, 0
-        for batch in batches:
-            for i, j, _, shingle, _, _ in vectors(batch.column(0), width, None):
-                held.append(shingle)
-                n, size = n + j - i, size + len(shingle) * 8
-                if size >= block_bytes:
-                    yield from flush()
-                    held, n, size = [], 0, 0
-        if n:
-            yield from flush()
-
-    texts = pick(docs, "text")
-    seen = stored(texts.mapInArrow(often, "s long, c long, n long").groupBy("s").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "often")
-    total = seen.where("s IS NULL").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    # where a block doesn't tell, fewer than a quarter of `rare` of it have the shingle
-    could = seen.where("s IS NOT NULL").where(F.col("c") + (total - F.col("n")) * (rare / 4) >= rare * total)
-    # at most 4/3 of a document's mean number of shingles over `rare`, however many documents there are
-    common = np.sort(could.select("s").toPandas()["s"].to_numpy(np.int64)).astype(np.uint64)
-    if not len(common):
-        return Weights(total, common, np.zeros(0), rare)
-    sent = docs.sparkSession.sparkContext.broadcast(common)
-
-    def counted(batches):
-        known = sent.value
-        count = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for _, _, _, shingle, _, _ in vectors(batch.column(0), width, None):
-                at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
-                count += np.bincount(at[known[at] == shingle], minlength=len(known))
-        on = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(known[on].astype(np.int64)), pa.array(count[on])], ["s", "c"])
-
-    exact = texts.mapInArrow(counted, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).toPandas().sort_values("s")
-    return Weights(total, exact["s"].to_numpy(np.int64).astype(np.uint64), exact["c"].to_numpy(np.float64), rare)
+def packed(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers by bytes of the same rank, which compress well."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def document_frequencies(texts: DataFrame, ranges: int, width: int = WIDTH) -> DataFrame:
+    """(block, keys, df) for texts (block, text): of each block's shingles those that two documents at least have, with
+    the number of all documents that do. A block has a row for each of `ranges` ranges of hashes."""
+
+    def distinct(key: tuple, table: pa.Table) -> pa.Table:
+        found = [shingle for _, _, _, shingle, _, _ in vectors(table.column("text"), width, None)]
+        s, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        cut = np.searchsorted(s, np.array([(b << 44) // ranges for b in range(ranges)] + [1 << 44], np.uint64))
+        on = np.flatnonzero(np.diff(cut))
+        parts = [(cut[b], cut[b + 1]) for b in on]
+        return pa.table([pa.array([key[0].as_py()] * len(on), pa.int64()), pa.array(on, pa.int64()), pa.array([packed(s[a:b]) for a, b in parts], pa.binary()), pa.array([count[a:b].astype(np.int32).tobytes() for a, b in parts], pa.binary())], ["block", "range", "keys", "n"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        keys = [unpacked(k) for k in table.column("keys").to_pylist()]
+        count = np.concatenate([np.frombuffer(n, np.int32) for n in table.column("n").to_pylist()])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        df = np.bincount(at, count).astype(np.int64)[at]
+        cut = np.cumsum([0, *map(len, keys)])
+        own = [(k[d > 1], d[d > 1]) for k, d in ((k, df[a:b]) for k, a, b in zip(keys, cut[:-1], cut[1:], strict=True))]
+        return pa.table([table.column("block"), pa.array([packed(k) for k, _ in own], pa.binary()), pa.array([d.tobytes() for _, d in own], pa.binary())], ["block", "keys", "df"])
+
+    sent = texts.groupBy("block").applyInArrow(distinct, "block long, range long, keys binary, n binary")
+    return sent.groupBy("range").applyInArrow(summed, "block long, keys binary, df binary")
+
+
+def weights_of(known: pa.Table, n: int, rare: float) -> Weights:
+    """The weights of a block, by its rows of document_frequencies."""
+    keys = [unpacked(k) for k in known.column("keys").to_pylist()]
+    if not keys:
+        return Weights(n, np.zeros(0, np.uint64), np.zeros(0), rare)
+    s, df = np.concatenate(keys), np.concatenate([np.frombuffer(d, np.int64) for d in known.column("df").to_pylist()])
+    order = np.argsort(s)
+    return Weights(n, s[order], df[order].astype(np.float64), rare)
 
 
 # ---------------------------------------------------------------- components
@@ -273,16 +266,12 @@ def _reach(own: np.ndarray, doc: np.ndarray, shingle: np.ndarray, weight: np.nda
     return out
 
 
-def near_edges(column, component: np.ndarray, weights: Weights, width: int = WIDTH, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Pairs of rows of one component that join its rows as all pairs of the threshold at least would."""
-    docs, shs, ws = [], [], []
-    for i, _, doc, shingle, _, weight in vectors(column, width, weights):
-        docs.append(doc + i)
-        shs.append(shingle)
-        ws.append(weight)
-    if not docs:
+def near_edges(shingle_sets: list[np.ndarray], weight_sets: list[np.ndarray], component: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Pairs of rows (their vectors are given) of one component that join its rows as all pairs of the threshold at least would."""
+    if not len(component):
         return []
-    doc, shingle, weight = np.concatenate(docs), np.concatenate(shs), np.concatenate(ws)
+    doc = np.repeat(np.arange(len(component)), [len(x) for x in shingle_sets])
+    shingle, weight = np.concatenate(shingle_sets), np.concatenate(weight_sets)
     total = np.bincount(doc, weight, len(component))
     order = np.argsort(component, kind="stable")
     cut = np.flatnonzero(np.r_[True, component[order][1:] != component[order][:-1], True])
@@ -304,7 +293,7 @@ def _node() -> F.Column:
     return F.struct(F.coalesce(F.col("doc_id"), F.lit(_NULL_ID)).alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, rare: float = RARE, task_bytes: int = TASK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, rare: float = RARE, task_bytes: int = TASK_BYTES, chunk_bytes: int = CHUNK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, n, root) of every document: node is its id and its text's hash, n how many rows it has, root the least
     node of its group. Groups are joined by pairs whose similarity is the threshold at least and that share a band.
 
@@ -314,29 +303,28 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     spark = docs.sparkSession
     shared_dir(spark)
     own = pick(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
-    weights = document_weights(own, width, rare)
-    sent = spark.sparkContext.broadcast(weights)
-
-    def sign(batches):
-        for batch in batches:
-            column = batch.column("text")
-            size = np.diff(text_bytes(column)[1])
-            keys, prints, some = np.zeros((len(size), bands), np.int64), np.zeros((2, len(size)), np.uint64), np.zeros(len(size), bool)
-            for i, j, doc, shingle, count, weight in vectors(column, width, sent.value):
-                if not len(doc):
-                    continue
-                keys[i:j] = band_keys(samples(doc, shingle, weight, j - i, bands * rows), bands, rows)
-                starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                with np.errstate(over="ignore"):
-                    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-                        prints[k, i + doc[starts]] = np.add.reduceat(mix64(shingle * np.uint64(odd) + count.astype(np.uint64)), starts)
-                some[i + doc[starts]] = True
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(size), pa.array(some), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), listed], ["node", "size", "some", "p", "q", "keys"]
-            )
-
-    signed = own.select(_node().alias("node"), "text").mapInArrow(sign, f"node {NODE}, size long, some boolean, p long, q long, keys array<long>")
+    total, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = int(-(-(size + 64 * total) // block_bytes)) or 1
+    texts = own.select(_node().alias("node"), "text").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)))
+    known = stored(document_frequencies(texts.select("block", "text"), blocks, width), "frequencies")
+
+    def sign(own: pa.Table, known: pa.Table) -> pa.Table:
+        column, weights = own.column("text"), weights_of(known, total, rare)
+        size = np.diff(text_bytes(column)[1])
+        keys, prints, some = np.zeros((len(size), bands), np.int64), np.zeros((2, len(size)), np.uint64), np.zeros(len(size), bool)
+        for i, j, doc, shingle, count, weight in vectors(column, width, weights):
+            if not len(doc):
+                continue
+            keys[i:j] = band_keys(samples(doc, shingle, weight, j - i, bands * rows), bands, rows)
+            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            with np.errstate(over="ignore"):
+                for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+                    prints[k, i + doc[starts]] = np.add.reduceat(mix64(shingle * np.uint64(odd) + count.astype(np.uint64)), starts)
+            some[i + doc[starts]] = True
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+        return pa.table([own.column("node").cast(_ARROW_NODE), pa.array(size), pa.array(some), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), listed], ["node", "size", "some", "p", "q", "keys"])
+
+    signed = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(sign, f"node {NODE}, size long, some boolean, p long, q long, keys array<long>")
     signed = stored(signed, "signed")
     same = Window.partitionBy("p", "q").orderBy("node")
     lined = signed.where("some").withColumn("least", F.first("node").over(same)).withColumn("nth", F.row_number().over(same))
@@ -354,18 +342,27 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ri", "rh", "i", "h"], kind="stable").reset_index(drop=True)
         component = pdf.groupby(["ri", "rh"], sort=False).ngroup().to_numpy()
-        found = np.array(near_edges(pa.array(pdf["text"], pa.large_string()), component, sent.value, width, threshold), np.int64).reshape(-1, 2)
+        vectors = [unpacked(s) for s in pdf["s"]], [np.frombuffer(w, np.float32) for w in pdf["w"]]
+        found = np.array(near_edges(*vectors, component, threshold), np.int64).reshape(-1, 2)
         i, h = pdf["i"].to_numpy(), pdf["h"].to_numpy()
         return pd.DataFrame({"ui": i[found[:, 0]], "uh": h[found[:, 0]], "vi": i[found[:, 1]], "vh": h[found[:, 1]]})
 
-    texts = own.select(_node().alias("node"), "text")
+    def weighed(own: pa.Table, known: pa.Table) -> pa.Table:
+        weights, s, w = weights_of(known, total, rare), [], []
+        for i, j, doc, shingle, _, weight in vectors(own.column("text"), width, weights):
+            cut = np.searchsorted(doc, np.arange(j - i + 1))
+            s += [packed(shingle[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            w += [weight[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([own.column("node").cast(_ARROW_NODE), pa.array(s, pa.binary()), pa.array(w, pa.binary())], ["node", "s", "w"])
+
     if maybe := may_hold(members, F.xxhash64("node")):
         texts = texts.where(maybe(F.xxhash64("node")))  # only texts to verify are shuffled
+    compared = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(weighed, f"node {NODE}, s binary, w binary"), "vectors")
     repeated = not signed.groupBy("node").count().where("count > 1").limit(1).isEmpty()
 
     def verified(placed: DataFrame) -> DataFrame:
         """Edges (u, v) of the tasks of placed (node, root, task)."""
-        met = texts.join(placed, "node").select("task", F.col("root.i").alias("ri"), F.col("root.h").alias("rh"), F.col("node.i").alias("i"), F.col("node.h").alias("h"), "text")
+        met = compared.join(placed, "node").select("task", F.col("root.i").alias("ri"), F.col("root.h").alias("rh"), F.col("node.i").alias("i"), F.col("node.h").alias("h"), "s", "w")
         met = met.dropDuplicates(["task", "i", "h"]) if repeated else met
         found = met.groupBy("task").applyInPandas(verify, "ui long, uh long, vi long, vh long")
         return found.select(F.struct(F.col("ui").alias("i"), F.col("uh").alias("h")).alias("u"), F.struct(F.col("vi").alias("i"), F.col("vh").alias("h")).alias("v"))
