@@ -110,6 +110,18 @@ def test_mixed_keeps_all_documents(spark):
     assert {r["doc_id"] for r in mixing.mixed(docs, weights={"a": 1.0}).collect()} == set(range(1000))
 
 
+def test_mix_of_many_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    got = mixing.mix(docs, block_docs=1).toPandas()
+    assert len(got) == 3000 and got["mix_position"].notna().all() and got["mix_position"].is_unique
+    shares = {f"s{i}": 1.0 + (i == 0) * 500 for i in range(1500)}
+    period = mixing.period_of(shares)
+    weights = mixing.integer_weights(shares, period)
+    assert sum(weights.values()) == period and all(abs(w / period * 2000 / shares[s] - 1) <= 0.1 for s, w in weights.items())
+    assert mixing.period_of({"a": 1.0, "b": 1.0}) == mixing.PERIOD and mixing.period_of({"a": 1.0, "b": 1e-12}) == mixing.LONGEST
+    assert mixing.period_of({}) == mixing.PERIOD
+
+
 # ---------------------------------------------------------------- 4
 
 

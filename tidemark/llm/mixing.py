@@ -3,8 +3,9 @@
 Each source is cut into blocks of documents. With integer weights that sum to the period, block j of a source of weight
 w is released at floor(j * period / w) and due at ceil((j + 1) * period / w); taking the earliest deadline among the
 released blocks gives each source, at every moment, less than one block more or less than its share. Releases and
-deadlines repeat with the period, so one period is scheduled on the driver, whatever the corpus, and each block finds
-its slot in that table by division.
+deadlines repeat with the period, so one period is scheduled on the driver, and each block finds its slot in that table
+by division. The period follows the sources: it holds the least share PRECISE times, so no weight is off its share by more
+than 1 / PRECISE.
 
 Documents are ranked within their source by the md5 of their id. Ranks are counted in buckets of leading md5 digits,
 so that a source of any size is sorted in many small parts.
@@ -13,6 +14,7 @@ so that a source of any size is sorted in many small parts.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,16 @@ from tidemark.llm.common import documents_of, pick, read
 
 ADDED = ("mix_rank", "mix_block", "mix_slot", "mix_position", "in_mix")
 PERIOD, BLOCK_DOCS, ALPHA, BUCKET_ROWS = 1000, 8, 0.5, 20_000
+PRECISE, LONGEST, SENT_ROWS = 10, 1_000_000, 200_000
+
+
+def period_of(shares: dict[str, float], period: int = PERIOD) -> int:
+    """The least multiple of period that holds the least share PRECISE times. Beyond LONGEST, or PRECISE times the number
+    of sources if that is more, it doesn't grow: shares under PRECISE / LONGEST are only as exact as a slot of it."""
+    if not shares:
+        return period
+    need = min(PRECISE * sum(shares[s] for s in sorted(shares)) / min(shares.values()), max(LONGEST, PRECISE * len(shares)))
+    return period * max(1, math.ceil(need / period - 1e-9))
 
 
 def integer_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -32,12 +44,15 @@ def integer_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str,
     total = sum(shares[s] for s in sorted(shares))
     exact = {s: period * x / total for s, x in shares.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
+    left = period - sum(out.values())
     for s in sorted(shares, key=lambda s: (int(exact[s]) - exact[s], s)):
-        if sum(out.values()) >= period:
+        if left <= 0:
             break
         out[s] += 1
-    while sum(out.values()) > period:  # where the least weight of 1 took too much
+        left -= 1
+    while left < 0:  # where the least weight of 1 took too much
         out[max(out, key=lambda s: (out[s], s))] -= 1
+        left += 1
     return out
 
 
@@ -59,10 +74,10 @@ def schedule(weights: dict[str, int], period: int = PERIOD) -> list[tuple[str, i
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, period: int = PERIOD, block_docs: int = BLOCK_DOCS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, period: int | None = None, block_docs: int = BLOCK_DOCS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs (columns of documents) with mix_rank, mix_block, mix_slot, mix_position and in_mix.
 
-    Target weights are given by source, or the corpus counts to the power alpha. in_mix holds for blocks before the
+    Target weights are given by source, or the corpus counts to the power alpha; the period is that of period_of. in_mix holds for blocks before the
     first slot whose source has no full block left: there the proportions are as promised, with no source repeated.
     Null is a source of its own; weights that name no source of docs are ignored, sources without a weight are out of
     the mix and have no slot. A null id ranks as an empty one; repeated rows rank one after the other. An empty table
@@ -73,7 +88,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     d = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = {r[0]: r[1] for r in d.groupBy("_source").count().collect()}
     given = {s: float(n) ** alpha for s, n in sizes.items()} if weights is None else {("null" if s is None else f"={s}"): float(x) for s, x in weights.items() if x > 0}
-    shares = integer_weights({s: x for s, x in given.items() if s in sizes}, period)
+    given = {s: x for s, x in given.items() if s in sizes}
+    period = period or period_of(given)
+    shares = integer_weights(given, period)
     table = schedule(shares, period)
     slot_of = {(s, j): slot for s, j, slot in table}
     full = {s: sizes[s] // block_docs for s in shares}
@@ -89,7 +106,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     plan = spark.createDataFrame([(s, shares[s], j, slot) for s, j, slot in table], "_source string, _w bigint, _j bigint, _slot bigint")
     width = spark.createDataFrame(list(shares.items()), "_source string, _w bigint")
     ranked = ranked.join(F.broadcast(width), "_source", "left").withColumn("_j", F.col("mix_block") % F.col("_w"))
-    placed = ranked.join(F.broadcast(plan.drop("_w")), ["_source", "_j"], "left")  # a period's slots, and one row for each source in them
+    plan = plan.drop("_w")
+    placed = ranked.join(F.broadcast(plan) if len(table) <= SENT_ROWS else plan, ["_source", "_j"], "left")  # a period's slots, and one row for each source in them
     slot = (F.floor(F.col("mix_block") / F.col("_w")) * period + F.col("_slot")).cast("bigint")
     placed = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("mix_rank") % block_docs)
     return placed.select(*docs.columns, "mix_rank", "mix_block", "mix_slot", "mix_position", F.coalesce(F.col("mix_slot") < horizon, F.lit(False)).alias("in_mix"))
