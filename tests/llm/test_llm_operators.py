@@ -69,17 +69,27 @@ def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 16))
     x[150:] = x[:150] + rng.standard_normal((150, 16)) * rng.uniform(0.05, 0.6, (150, 1))
-    x[10] = x[20]
+    x[200:240] = x[200] + rng.standard_normal((40, 16)) * 0.05  # a group of near copies
+    x[10] = x[20] = x[30]
     rows = [(int(i), [float(y) for y in v]) for i, v in enumerate(x.astype(np.float32))]
-    rows += [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, [1.0]), (None, rows[0][1]), rows[3], (504, [None] * 16)]
+    rows += [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, [1.0]), (None, rows[0][1]), (None, None), rows[3], (504, [None] * 16)]
     df = spark.createDataFrame(rows, "k bigint, e array<float>").select("*", F.lit(1).alias("id"), F.lit(2).alias("v"), F.lit(3).alias("b"))
     u = x.astype(np.float32).astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    want = {(i, j) for i, j in itertools.combinations(range(300), 2) if u[i] @ u[j] >= 0.9}
-    for cell_rows in (6000, 7):
-        got = [(r[0], r[1]) for r in embedding_dedup.similar_pairs(df, "k", "e", cell_rows=cell_rows).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
-    assert embedding_dedup.similar_pairs(df.limit(0), "k", "e").count() == 0
+    near = u @ u.T >= 0.9
+    near[[20, 30]] = near[:, [20, 30]] = False  # copies of 10
+    np.fill_diagonal(near, False)
+    root = np.arange(300)
+    for i, j in np.argwhere(near):
+        root[root == max(root[i], root[j])] = min(root[i], root[j])
+    many = near.sum(axis=1)
+    want = {i: (int(root[i]), int(many[i]), 2 * (i == 10)) for i in range(300)} | {i: (int(root[10]), int(many[10]), 2) for i in (20, 30)}
+    want |= {i: (i, 0, 0) for i in range(500, 505)} | {None: (None, None, None)}
+    for how in ({}, {"cell_bytes": 7 * 448}, {"width": 4, "grid": 3}):
+        got = embedding_dedup.classes(df, "k", "e", **how).collect()
+        assert len(got) == len(want) and {r[0]: tuple(r)[1:] for r in got} == want
+    assert embedding_dedup.classes(df.limit(0), "k", "e").count() == 0
+    assert {tuple(r) for r in embedding_dedup.classes(df.where("e IS NULL"), "k", "e").collect()} == {(500, 500, 0, 0), (None, None, None, None)}
 
 
 # ---------------------------------------------------------------- 3

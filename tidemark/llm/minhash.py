@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents_of, may_hold, mix64, pick, read, shared_dir, stored, text_bytes, text_chunks, word_hashes
+from tidemark.llm.graph import components
 
 WIDTH, RARE, THRESHOLD, BANDS, ROWS, SEED = 3, 0.0, 0.5, 20, 3, 11  # RARE: a share of documents below which shingles weigh the same
 BLOCK_BYTES = 8 << 20
@@ -197,32 +198,7 @@ def weights_of(known: pa.Table, n: int, rare: float) -> Weights:
     return Weights(n, s[order], df[order].astype(np.float64), rare)
 
 
-# ---------------------------------------------------------------- components
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): of each node of edges (u, v) the least node of its component, itself for that one; by alternating
-    large and small stars until nothing changes, each round written to the shared folder."""
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = e.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        if large:
-            e = e.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        else:
-            e = e.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
-        return e.where("u <> v").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before, now = None, state(e)
-    while now != before and now[0]:
-        e = stored(star(star(e, True), False), "star")
-        before, now = now, state(e)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+# ---------------------------------------------------------------- verification
 
 
 def _reach(own: np.ndarray, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, total: np.ndarray, threshold: float) -> list[tuple[int, int]]:
