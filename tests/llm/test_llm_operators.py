@@ -180,6 +180,95 @@ def test_maxent_equals_a_plain_softmax():
     assert (feature[0, 1:] == maxent.contexts(*words_of("z"))[0, 1:]).all() and (feature[6] == feature[0]).all()
 
 
+def plain_step(weights, past, rows, target, rate):
+    """What _descend does, position by position."""
+    sums, count = {}, {}
+    for own, t in zip(rows.tolist(), target.tolist(), strict=True):
+        z = np.exp(sum(weights[r].astype(np.float64) for r in own))
+        grad = z / z.sum()
+        grad[t] -= 1
+        for r in own:
+            sums[r] = sums.get(r, 0) + grad
+            count[r] = count.get(r, 0) + 1
+    for r, g in sums.items():
+        past[r] += (g * g).mean() / count[r]
+        weights[r] = weights[r] - rate * g / np.sqrt(count[r] * (past[r] + 1e-4))
+    return count
+
+
+def test_maxent_trains_as_plain_gradient_steps_do(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 90, int(rng.integers(1, 60)))) for _ in range(40)] + ["", None, "w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    shards = max(1, -(-sum(len(t or "") for t in texts) // (2 * 700)))
+    hashed = docs.where("text <> ''").select(F.xxhash64("doc_id", "text").alias("h"), "text").withColumn("part", F.pmod("h", F.lit(2))).withColumn("node", F.pmod(F.xxhash64("h"), F.lit(shards))).toPandas().sort_values("h")
+    model = maxent.trained(docs, rounds=2, shard_bytes=700, rate=0.3)
+    mats = [np.zeros_like(model.by_class, np.float64), np.zeros_like(model.by_word, np.float64)]
+    assert shards > 3
+    for part in range(2):
+        total, weight = [np.zeros_like(m) for m in mats], [np.zeros(len(m)) for m in mats]
+        for _, own in hashed[hashed["part"] == part].groupby("node"):
+            words, starts = words_of(*own["text"])
+            now, past = [m.copy() for m in mats], [np.zeros(len(m)) for m in mats]
+            place = model.places(words)
+            c, w = maxent.rows_of(maxent.contexts(words, starts), place // maxent.IN_CLASS, model)
+            for k, (rows, target) in enumerate(((c, place // maxent.IN_CLASS), (w, place % maxent.IN_CLASS))):
+                for r, n in plain_step(now[k], past[k], rows, target, 0.3).items():
+                    total[k][r] += (now[k][r] - mats[k][r]) * n
+                    weight[k][r] += n
+        mats = [m + t / np.maximum(n, 1e-9)[:, None] for m, t, n in zip(mats, total, weight, strict=True)]
+    for got, want in zip((model.by_class, model.by_word), mats, strict=True):
+        assert np.abs(want).max() > 0.1 and np.allclose(got, want, atol=2e-3)
+
+
+def test_maxent_is_the_same_in_any_layout(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("length(text) < 5000")
+    got = []
+    for parts in (1, 3, 8):
+        own = docs.repartition(parts, "doc_id")
+        got.append(maxent.score(own, maxent.trained(own, shard_bytes=20_000)).toPandas().sort_values("doc_id").reset_index(drop=True))
+    assert len(got[0]) and got[0]["bits"].sum() > 0
+    assert_frame_equal(got[0], got[1])
+    assert_frame_equal(got[0], got[2])
+
+
+def test_maxent_sums_changes_in_a_tree(spark):
+    rng = np.random.default_rng(3)
+    rows, total, count = [], np.zeros((maxent.BLOCK_ROWS, 32)), np.zeros(maxent.BLOCK_ROWS)
+    for node in range(11):
+        at = np.sort(rng.choice(maxent.BLOCK_ROWS, 50, replace=False))
+        n, change = rng.integers(1, 9, 50).astype(np.float32), rng.standard_normal((50, 32)).astype(np.float16)
+        rows.append((node, 1, 0, at.astype(np.int16).tobytes(), n.tobytes(), change.tobytes()))
+        total[at] += change * n[:, None]
+        count[at] += n
+    changes = spark.createDataFrame(rows, "node long, m int, b int, rows binary, touched binary, change binary")
+    for fan in (64, 3, 2):
+        got = maxent.summed(changes, 11, fan).collect()
+        assert len(got) == 1
+        assert np.allclose(np.frombuffer(got[0]["total"], np.float32).reshape(-1, 32), total, atol=1e-2) and (np.frombuffer(got[0]["count"], np.float64) == count).all()
+    with pytest.raises(Exception, match="too many branches"):
+        maxent.summed(changes.withColumn("node", F.lit(0).cast("long")), 11, 4).collect()
+
+
+def test_op4_equals_plain_scoring(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in maxent.op4_lm_scoring(spark, DATA).collect()}
+    texts = {r[0]: r[1] for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    model = maxent.trained(docs)
+    hashes, n = np.unique(words_of(*texts.values())[0], return_counts=True)
+    many, first = dict(zip(hashes.tolist(), n.tolist(), strict=True)), (maxent.CLASSES - maxent.TAIL_CLASSES) * maxent.IN_CLASS
+    for i in sorted(texts, key=lambda i: len(texts[i]))[5:100:20]:
+        words, starts = words_of(texts[i])
+        bits = 0.0
+        for k, p in enumerate(model.places(words)):
+            c, w = maxent.rows_of(maxent.contexts(words, starts)[k : k + 1], np.array([p // 32]), model)
+            zc, zw = sum(model.by_class[r].astype(float) for r in c[0]), sum(model.by_word[r].astype(float) for r in w[0])
+            bits -= np.log2(np.exp(zc[p // 32]) / np.exp(zc).sum() * np.exp(zw[p % 32]) / np.exp(zw).sum())
+            bits -= np.log2(many[int(words[k])] / (model.held[p - first] + 1)) if p >= first else 0
+        assert got[i]["n_words"] == len(words) and got[i]["bits"] == pytest.approx(bits, rel=1e-3)
+
+
 def test_maxent_tells_rare_words_apart(spark):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(3000)]  # word k comes about 1 / (k + 1) of the time, and once at least

@@ -7,31 +7,33 @@ corpus, counted over all of it, have classes by rank; all others share hashed pl
 P(word | place) as a further factor: n / (N + 1), of the word's and its place's counts over the whole corpus. The 1 is
 for all words that the corpus doesn't have, so the probabilities of a place's words sum to one.
 
-Training goes over every document once, in ROUNDS disjoint parts. In a round each shard of text starts from the weights
-sent out, descends the gradient of its own batches with AdaGrad, and gives back the change of the rows that it touched
-with how often it did; changes are averaged by that over all shards, in a shuffle by blocks of rows. So what is
-gathered grows with the corpus, while the model, of a fixed size, can be sent to every executor. Scoring is one pass
-over the texts: rows of weights are gathered for a batch of positions, added up and normalised in numpy. The counts of
-all words don't fit an executor: they are joined to the distinct words of each run of texts, and go back to the run.
+Training goes over every document once, in ROUNDS disjoint parts. A document's part and shard follow from a hash of its id
+and text, and the number of shards from the corpus's bytes, so the model is the same however the rows are laid out in
+files. In a round each shard starts from the weights sent out, descends the gradient of its own batches (AdaGrad with a
+rate for each row), and gives back the change of the rows that it touched with how often it did. Changes are averaged by
+that over all shards, by blocks of rows, in a tree whose nodes have FAN branches at most: a task never holds more than FAN
+blocks, however many shards there are. So what is gathered grows with the corpus, while the model, of a fixed size, can
+be sent to every executor. Scoring is one pass over the texts: rows of weights are gathered for a batch of positions,
+added up and normalised in numpy. The counts of all words don't fit an executor: they are joined to the distinct words of
+each run of texts, and go back to the run.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, pick, read, schema_and, shared_dir, stored, text_bytes, text_chunks, word_hashes
+from tidemark.llm.common import PIECE, mix64, pick, read, schema_and, shared_dir, stored, text_bytes, text_chunks, word_hashes
 
 CLASSES, IN_CLASS, TAIL_CLASSES = 32, 32, 8
 CLASS_ROWS, WORD_ROWS, FEATURES = 1 << 14, 1 << 15, 5
-ROUNDS, BATCH, RATE, SHARD_BYTES = 2, 4096, 0.1, 8 << 20
-BLOCK_ROWS, RUN_BYTES = 1024, 8 << 20
+ROUNDS, BATCH, RATE, SHARD_BYTES = 2, 4096, 0.2, 8 << 20
+BLOCK_ROWS, RUN_BYTES, FAN = 1024, 8 << 20, 64
 START = np.uint64(0x5851F42D4C957F2D)  # stands for the words before a text
 
 
@@ -128,7 +130,7 @@ def _sums(x: np.ndarray, first: np.ndarray, count: np.ndarray, few: int = 8) ->
 
 
 def _descend(weights: np.ndarray, past: np.ndarray, touched: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One step of AdaGrad on the positions of a batch; past: sums of squares, touched: positions by row."""
+    """One step on the positions of a batch; past: by row the sum of its steps' mean squares, touched: its positions."""
     grad = _softmax(weights, rows)
     grad[np.arange(len(target)), target] -= 1
     flat = rows.ravel()
@@ -139,14 +141,10 @@ def _descend(weights: np.ndarray, past: np.ndarray, touched: np.ndarray, rows: n
     count = np.diff(np.append(first, len(flat)))
     step = _sums(np.take(grad, order // rows.shape[1], axis=0), first, count)
     touched[hit] += count
-    step /= np.sqrt(count, dtype=np.float32)[:, None]  # a row that many positions share moves further, but not in proportion
-    seen = np.take(past, hit, axis=0)
-    seen += step * step
+    # a row that many positions share moves further, by the root of their number
+    seen = past[hit] + np.einsum("ij,ij->i", step, step) / (count * weights.shape[1])
     past[hit] = seen
-    seen += 1e-4
-    np.sqrt(seen, out=seen)
-    step *= rate
-    step /= seen
+    step *= (rate / np.sqrt(count * (seen + 1e-4))).astype(np.float32)[:, None]
     weights[hit] -= step
 
 
@@ -156,7 +154,7 @@ class Shard:
     def __init__(self, model: Model):
         self.model = Model(model.own, model.place, model.by_class.copy(), model.by_word.copy())
         self.begun = (model.by_class, model.by_word)
-        self.past = tuple(np.zeros_like(w) for w in self.begun)
+        self.past = tuple(np.zeros(len(w)) for w in self.begun)
         self.touched = tuple(np.zeros(len(w), np.float32) for w in self.begun)
 
     def learn(self, words: np.ndarray, starts: np.ndarray, batch: int = BATCH, rate: float = RATE) -> None:
@@ -191,11 +189,48 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def summed(changes: DataFrame, shards: int, fan: int = FAN) -> DataFrame:
+    """(m, b, total, count): by block of rows the sum of shards' changes, weighed by how often each touched a row, and of
+    those weights; in a tree, each node of which adds at most `fan` shards or nodes, in their order."""
+
+    def leaves(key: tuple, table: pa.Table) -> pa.Table:
+        return added(key, table, lambda r, width: (np.frombuffer(r["rows"], np.int16), np.frombuffer(r["touched"], np.float32).astype(np.float64)), lambda r, width, n: np.frombuffer(r["change"], np.float16).reshape(-1, width).astype(np.float64) * n[:, None])
+
+    def nodes(key: tuple, table: pa.Table) -> pa.Table:
+        return added(key, table, lambda r, width: (np.arange(BLOCK_ROWS), np.frombuffer(r["count"], np.float64)), lambda r, width, n: np.frombuffer(r["total"], np.float32).reshape(-1, width))
+
+    def added(key, table, weight, change):
+        if table.num_rows > fan:
+            raise ValueError("a node with too many branches")
+        m, b, node = (k.as_py() for k in key)
+        width = (CLASSES, IN_CLASS)[m]
+        total, count = np.zeros((BLOCK_ROWS, width)), np.zeros(BLOCK_ROWS)
+        for r in table.sort_by("node").to_pylist():
+            at, n = weight(r, width)
+            total[at] += change(r, width, n)
+            count[at] += n
+        return pa.table([pa.array([m], pa.int32()), pa.array([b], pa.int32()), pa.array([node], pa.int64()), pa.array([total.astype(np.float32).tobytes()]), pa.array([count.tobytes()])], ["m", "b", "node", "total", "count"])
+
+    def up(level: DataFrame, add) -> DataFrame:
+        return level.groupBy("m", "b", F.floor(F.col("node") / fan).alias("up")).applyInArrow(add, "m int, b int, node long, total binary, count binary")
+
+    level, left = up(changes, leaves), -(-shards // fan)
+    while left > 1:
+        level, left = up(level, nodes), -(-left // fan)
+    return level
+
+
 def trained(docs: DataFrame, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES, rate: float = RATE) -> Model:
-    """The model that all texts of docs give. Null and wordless texts teach nothing; repeated rows count as often as they come."""
+    """The model that all texts of docs give, in whatever partitions they are. Null, empty and wordless texts teach nothing
+    (of no texts the model is blank); repeated rows count as often as they come; texts of any length are read whole. Ids
+    may be null. Columns besides doc_id and text are not looked at."""
     spark = docs.sparkSession
     shared_dir(spark)
-    texts = pick(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("part"), F.col("text").cast("string").alias("text"))
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // (rounds * shard_bytes)))
+    texts = texts.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    texts = texts.select("h", "text", F.pmod("h", F.lit(rounds)).alias("part"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("node"))
     own, shared = (CLASSES - TAIL_CLASSES) * IN_CLASS, TAIL_CLASSES * IN_CLASS
     counts = stored(word_counts(texts.select("text")), "words")
     ranked = counts.orderBy(F.desc("n"), "word").limit(own).toPandas()["word"].to_numpy(np.int64)
@@ -208,41 +243,51 @@ def trained(docs: DataFrame, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTE
         sent = spark.sparkContext.broadcast(model)
 
         def learn(batches, sent=sent):
-            shard, size = Shard(sent.value), 0
-            names = ["m", "b", "rows", "touched", "change"]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            names = ["node", "m", "b", "rows", "touched", "change"]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            now, shard, held, size = None, None, [], 0
+
+            def read_held():
+                """The texts held back, as one run: runs begin with a shard and end by its bytes, wherever batches do."""
+                if held:
+                    at = np.cumsum(np.concatenate([[0], *[np.diff(o) for _, o in held]]))
+                    shard.learn(*word_hashes(np.concatenate([d for d, _ in held]), at), rate=rate)
 
-            def given(shard):
+            def given():
                 found = shard.changes()
-                return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
+                return pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.int64()), *[pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds[1:])]], names)
 
             for batch in batches:
-                data, off = text_bytes(batch.column(0))
-                for i, j in text_chunks(off):
-                    shard.learn(*word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i]), rate=rate)
-                    size += int(off[j] - off[i])
-                    if size >= shard_bytes:
-                        yield given(shard)
-                        shard, size = Shard(sent.value), 0
-            if size:
-                yield given(shard)
-
-        def average(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            width = (CLASSES, IN_CLASS)[int(key[0])]
-            total, count = np.zeros((BLOCK_ROWS, width)), np.zeros(BLOCK_ROWS)
-            for rows, touched, change in zip(pdf["rows"], pdf["touched"], pdf["change"], strict=True):
-                at, n = np.frombuffer(rows, np.int16), np.frombuffer(touched, np.float32).astype(np.float64)
-                total[at] += np.frombuffer(change, np.float16).reshape(-1, width).astype(np.float64) * n[:, None]
-                count[at] += n
-            total /= np.maximum(count, 1e-9)[:, None]
-            return pd.DataFrame({"m": [key[0]], "b": [key[1]], "change": [total.astype(np.float32).tobytes()]})
-
-        changes = texts.where(F.col("part") == part).select("text").mapInArrow(learn, "m int, b int, rows binary, touched binary, change binary")
-        moved = changes.groupBy("m", "b").applyInPandas(average, "m int, b int, change binary").toPandas()  # the model's size
+                nodes = batch.column(0).to_numpy()
+                data, off = text_bytes(batch.column(1))
+                i, edges = 0, np.append(np.flatnonzero(np.diff(nodes)) + 1, len(nodes))
+                for edge in edges.tolist():
+                    if nodes[i] != now:
+                        if shard:
+                            read_held()
+                            yield given()
+                        now, shard, held, size = int(nodes[i]), Shard(sent.value), [], 0
+                    while i < edge:
+                        j = min(edge, int(np.searchsorted(off, off[i] + PIECE - size, "left")))  # up to the text that fills the run
+                        j = max(j, i + 1)
+                        held.append((data[off[i] : off[j]], off[i : j + 1]))
+                        size += int(off[j] - off[i])
+                        i = j
+                        if size >= PIECE:
+                            read_held()
+                            held, size = [], 0
+            if shard:
+                read_held()
+                yield given()
+
+        changes = texts.where(F.col("part") == part).repartition("node").sortWithinPartitions("node", "h").select("node", "text")
+        changes = changes.mapInArrow(learn, "node long, m int, b int, rows binary, touched binary, change binary")
+        moved = summed(changes, shards).toPandas()  # the model's size
         now = (model.by_class.copy(), model.by_word.copy())
-        for m, b, change in zip(moved["m"], moved["b"], moved["change"], strict=True):
+        for m, b, total, count in zip(moved["m"], moved["b"], moved["total"], moved["count"], strict=True):
             w = now[m]
-            w[b : b + BLOCK_ROWS] += np.frombuffer(change, np.float32).reshape(-1, w.shape[1])[: len(w) - b]
+            change = np.frombuffer(total, np.float32).reshape(-1, w.shape[1]) / np.maximum(np.frombuffer(count, np.float64), 1e-9)[:, None]
+            w[b : b + BLOCK_ROWS] += change[: len(w) - b].astype(np.float32)
         model = Model(model.own, model.place, *now)
     return replace(model, rest=rest, held=held)
 
@@ -254,7 +299,7 @@ def counted(scored: DataFrame, rest: DataFrame, id_col: str) -> DataFrame:
         for batch in batches:
             for run, words in zip(batch.column(0), batch.column(1), strict=True):
                 w = np.frombuffer(words.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([run.as_py()] * len(w), pa.string()), pa.array(w), pa.array(np.arange(len(w), dtype=np.int32))], ["run", "word", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), run.as_py(), np.int64)), pa.array(w), pa.array(np.arange(len(w), dtype=np.int32))], ["run", "word", "k"])
 
     def less(texts: pa.Table, found: pa.Table) -> pa.Table:
         k, n = [found.column(c).to_numpy() for c in ("k", "n")]
@@ -266,7 +311,7 @@ def counted(scored: DataFrame, rest: DataFrame, id_col: str) -> DataFrame:
             bits.append(b - float(lg[at[at < len(lg)]].sum()))  # a word without a count has the place's 1
         return pa.table([texts.column(id_col), texts.column("n_words"), pa.array(bits, pa.float64())], [id_col, "n_words", "bits"])
 
-    words = scored.where("words IS NOT NULL").select("run", "words").mapInArrow(listed, "run string, word long, k int")
+    words = scored.where("words IS NOT NULL").select("run", "words").mapInArrow(listed, "run long, word long, k int")
     found = words.join(rest, "word").select(F.col("run").alias("_run"), "k", "n")
     texts = scored.select(id_col, "n_words", "bits", F.col("run").alias("_run"), "at")
     return texts.groupBy("_run").cogroup(found.groupBy("_run")).applyInArrow(less, scored.select(id_col, "n_words", "bits").schema)
@@ -275,7 +320,9 @@ def counted(scored: DataFrame, rest: DataFrame, id_col: str) -> DataFrame:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """(id_col, n_words, bits, bits_a_word, perplexity) of each row of docs, repeated rows included.
 
-    Null, empty and wordless texts have 0 words and bits, and null for the rest. An empty table gives no rows.
+    Null, empty and wordless texts have 0 words and bits, and null for the rest. Texts of any length are scored whole; words
+    that the corpus doesn't have share the 1 of their place. An empty table gives no rows. Other columns of docs, whatever
+    their names, are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
     own = pick(docs, id_col, "text").withColumn("text", F.col("text").cast("string"))
@@ -284,16 +331,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     def each(batches):
         """Rows of runs of texts: at has the numbers of a text's words in words, which only a run's first row has."""
         model, first = sent.value, (CLASSES - TAIL_CLASSES) * IN_CLASS
+        name = TaskContext.get().partitionId() << 32
 
         def given(run):
+            nonlocal name
             if not run:
                 return
             words, at = np.unique(np.concatenate([x[3] for x in run]), return_inverse=True)
             sizes = np.concatenate([x[4] for x in run])
             cut = np.cumsum(np.r_[0, sizes])
-            at, name = at.astype(np.int32), uuid.uuid4().hex
+            at, name = at.astype(np.int32), name + 1
             columns = [
-                pa.concat_arrays([x[0] for x in run]), pa.array(np.concatenate([x[1] for x in run])), pa.array(np.concatenate([x[2] for x in run])), pa.array([name] * len(sizes)),
+                pa.concat_arrays([x[0] for x in run]), pa.array(np.concatenate([x[1] for x in run])), pa.array(np.concatenate([x[2] for x in run])), pa.array(np.full(len(sizes), name)),
                 pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([words.tobytes(), *[None] * (len(sizes) - 1)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -308,17 +357,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
                 shared = place >= first if model.held is not None else np.zeros(len(words), bool)
                 if shared.any():
                     lg[shared] -= np.log2(model.held[place[shared] - first] + 1)
-                total, before = np.zeros(len(words) + 1), np.zeros(len(words) + 1, np.int64)
-                np.cumsum(lg, out=total[1:])
+                total, before, some = np.zeros(j - i), np.zeros(len(words) + 1, np.int64), np.flatnonzero(np.diff(starts))
+                if len(some):
+                    total[some] = -np.add.reduceat(lg, starts[some])  # text by text: the same beside any others
                 np.cumsum(shared, out=before[1:])
-                run.append((batch.column(0).slice(i, j - i), np.diff(starts), -(total[starts[1:]] - total[starts[:-1]]), words[shared], before[starts[1:]] - before[starts[:-1]]))
+                run.append((batch.column(0).slice(i, j - i), np.diff(starts), total, words[shared], before[starts[1:]] - before[starts[:-1]]))
                 size += int(off[j] - off[i])
                 if size >= RUN_BYTES:
                     yield from given(run)
                     run, size = [], 0
         yield from given(run)
 
-    scored = own.mapInArrow(each, schema_and(own.select(id_col), n_words="bigint", bits="double", run="string", at="binary", words="binary"))
+    scored = own.mapInArrow(each, schema_and(own.select(id_col), n_words="bigint", bits="double", run="bigint", at="binary", words="binary"))
     if model.rest is not None:
         scored = counted(stored(scored, "scored"), model.rest, id_col)
     rate = F.when(F.col("n_words") > 0, F.col("bits") / F.col("n_words"))
