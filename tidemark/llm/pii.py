@@ -16,19 +16,23 @@ invented words.
 
 from __future__ import annotations
 
+import hashlib
+import random
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import documents_of, read, schema_and, text_bytes, text_chunks
+from tidemark.llm.common import documents_of, read, schema_and, shared_dir, text_bytes, text_chunks
 
-KINDS = ("none", "email", "phone", "card", "ip", "secret")
-HIDDEN, WINDOW, MARGIN, BATCH = 12, 768, 64, 1024
-STEPS, TRAIN_BATCH, TRAIN_LENGTH, RATE, SEED = 600, 96, 128, 0.015, 5
+KINDS = ("none", "email", "phone", "card", "ip", "secret", "id")
+HIDDEN, WINDOW, MARGIN, BATCH, CHUNK = 16, 1024, 64, 2048, 3 << 20
+STEPS, TRAIN_BATCH, TRAIN_LENGTH, TRAIN_ROWS, RATE, SEED = 900, 96, 128, 24_000, 0.015, 5
+LEAST = 4  # characters of a value of any kind
 SYMBOLS = 128  # ASCII; 127 stands for every character beyond
 
 
@@ -69,41 +73,41 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _run(model: Model, ids: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Scores (T, K, B) of windows whose symbols are ids (T, B), by length, longest first: active[t] are longer than t."""
+    """Scores (T, K, B) of windows whose symbols are ids (T, B), by length, longest first: active[t] are longer than t.
+
+    What is kept of a gate is twice its value, of a cell's output too: the recurrence's and the scores' weights are halved
+    for it. Beyond its end a window's scores are zero."""
     steps, many = ids.shape
     hidden, k = model.back[0].shape[1], len(model.bias)
-    scores = np.empty((steps, k, many), np.float32)
+    scores = np.zeros((steps, k, many), np.float32)
+    space, spare = np.empty(4 * hidden * many, np.float32), np.empty(4 * hidden * many, np.float32)
     for way, order in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
-        table, back = model.table[way], model.back[way]
-        out = np.ascontiguousarray(model.out[:, way * hidden : (way + 1) * hidden])
+        table, back = model.table[way], model.back[way] * np.float32(0.5)
+        out = np.ascontiguousarray(model.out[:, way * hidden : (way + 1) * hidden]) * np.float32(0.5)
         h, c = np.zeros((hidden, many), np.float32), np.zeros((hidden, many), np.float32)
-        gates, more = np.empty((4 * hidden, many), np.float32), np.empty((4 * hidden, many), np.float32)
         for t in order:
             n = int(active[t])
-            g, m, hn, cn = (gates, more, h, c) if n == many else (gates[:, :n], more[:, :n], h[:, :n], c[:, :n])
-            np.take(table, ids[t, :n], axis=1, out=g, mode="clip") if n == many else g.__setitem__(..., table[:, ids[t, :n]])
-            np.matmul(back, hn, out=m) if n == many else m.__setitem__(..., back @ hn)
+            g, m = space[: 4 * hidden * n].reshape(4 * hidden, n), spare[: 4 * hidden * n].reshape(4 * hidden, n)
+            hn, cn = h[:, :n], c[:, :n]
+            np.take(table, ids[t, :n], axis=1, out=g, mode="clip")
+            np.matmul(back, hn, out=m)
             g += m
             np.abs(g, out=m)
             m += 1
             g /= m
-            s = g[: 3 * hidden]
-            s *= 0.5
-            s += 0.5
+            g[: 3 * hidden] += 1
             cn *= g[hidden : 2 * hidden]
             g[:hidden] *= g[3 * hidden :]
             cn += g[:hidden]
             u = m[:hidden]
             np.abs(cn, out=u)
-            u += 1
+            u += 2
             np.divide(cn, u, out=hn)
             hn *= g[2 * hidden : 3 * hidden]
-            if way == 0:
-                scores[t, :, :n] = out @ hn
-            else:
-                scores[t, :, :n] += out @ hn
-        if way == 1:
-            scores += model.bias[:, None]
+            cn *= 0.5
+            scores[t, :, :n] += out @ hn
+    for t in range(steps):
+        scores[t, :, : active[t]] += model.bias[:, None]
     return scores
 
 
@@ -181,8 +185,9 @@ def spans_of(tags: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int
 
 
 def reconciled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of a text, with every other occurrence (bounded by no letter or digit) of what they hold; none overlap."""
-    out = [(a, b, k) for a, b, k in spans if b - a > 3]  # no value of any kind is as short
+    """Spans of a text, with every other occurrence (bounded by no letter or digit) of what they hold; none overlap. Spans
+    of fewer than LEAST characters are left out: no value of any kind is as short."""
+    out = [(a, b, k) for a, b, k in spans if b - a >= LEAST]
     taken = bytearray(len(text))
     for a, b, _ in out:
         taken[a:b] = b"\1" * (b - a)
@@ -197,15 +202,16 @@ def reconciled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return sorted(out)
 
 
-def redact(docs: DataFrame, model: Model | None = None, hidden_as: str = "<{}>") -> DataFrame:
-    """The documents with private values masked by their kind, n_chars of changed ones corrected, and pii_spans.
+def redact(docs: DataFrame, model: Model | None = None, hidden_as: str = "<{}>", spans: str | None = "pii_spans") -> DataFrame:
+    """The documents with private values masked by their kind, n_chars of changed ones corrected, and a column `spans`.
 
-    pii_spans are (start, end, kind) in characters of the text as it was; empty where nothing was found, as for null
-    and empty texts, which stay as they are. Whole texts are read, of any length. Repeated rows are treated alike; an
-    empty table gives no rows. Columns besides those of documents are left out.
+    It has (start, end, kind) in characters of the text as it was; empty where nothing was found, as for null and empty
+    texts, which stay as they are. Spans of fewer than LEAST characters are left out. Whole texts are read, of any length.
+    Repeated rows are treated alike; an empty table gives no rows. Other columns of docs stay, but for one of that name;
+    with spans None all stay and none is added.
     """
-    own = documents_of(docs)
-    sent = own.sparkSession.sparkContext.broadcast(model or trained())
+    own = documents_of(docs if spans is None else docs.drop(spans))
+    sent = own.sparkSession.sparkContext.broadcast(model or trained(own.sparkSession))
     columns = list(own.columns)
     kind_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
@@ -214,7 +220,7 @@ def redact(docs: DataFrame, model: Model | None = None, hidden_as: str = "<{}>")
             column = batch.column("text")
             data, off = text_bytes(column)
             found: dict[int, list[tuple[int, int, int]]] = {}
-            for i, j in text_chunks(off):
+            for i, j in text_chunks(off, CHUNK):
                 chars, at = symbols(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 for d, a, b, k in spans_of(tag(sent.value, chars, at), at):
                     found.setdefault(i + d, []).append((a, b, k))
@@ -223,29 +229,31 @@ def redact(docs: DataFrame, model: Model | None = None, hidden_as: str = "<{}>")
             texts, lengths = [], []
             for d in sorted(found):
                 text = column[d].as_py()
-                spans = reconciled(text, found[d])
-                if not spans:
+                own = reconciled(text, found[d])
+                if not own:
                     continue
                 parts, at = [], 0
-                for a, b, k in spans:
+                for a, b, k in own:
                     parts += [text[at:a], hidden_as.format(KINDS[k].upper())]
                     at = b
                 changed[d] = True
                 texts.append("".join(parts) + text[at:])
                 lengths.append(len(texts[-1]))
-                listed[d] = [{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in spans]
+                listed[d] = [{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in own]
             arrays = {n: batch.column(n) for n in columns}
             if texts:
                 mask = pa.array(changed)
                 arrays["text"] = pc.replace_with_mask(column, mask, pa.array(texts, column.type))
                 arrays["n_chars"] = pc.replace_with_mask(batch.column("n_chars"), mask, pa.array(lengths, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*arrays.values(), pa.array(listed, kind_type)], [*columns, "pii_spans"])
+            more = [] if spans is None else [(spans, pa.array(listed, kind_type))]
+            yield pa.RecordBatch.from_arrays([*arrays.values(), *[a for _, a in more]], [*columns, *[n for n, _ in more]])
 
-    return own.mapInArrow(each, schema_and(own, pii_spans="array<struct<start:bigint,end:bigint,kind:string>>"))
+    return own.mapInArrow(each, own.schema if spans is None else schema_and(own, **{spans: "array<struct<start:bigint,end:bigint,kind:string>>"}))
 
 
 def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    return redact(docs, model).drop("pii_spans")
+    """The documents with private values masked, as redact() does, in the columns that they have."""
+    return redact(docs, model, spans=None)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,61 +263,104 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- training
 
 _PARTS = "the and ing er on ti st re en ou ha le de que ment eau aux ion sch ung keit der ver los as ci ado mente in of to is a e i o u th wh ly ble ga mi ra ß ä ö ü é è ç ñ í ó ı я но ст 日 本".split()
+_HEX, _DIGIT, _CAPS, _ALNUM = "0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+_ONSET = "b c ch cl cr d dr f fl fr g gl gr h j k kn l ll m n ñ p pf ph pl pr qu r rr s sch sh sk sl sp st str t th tr tz v w wh x y z ß".split() + [""] * 9
+_VOWEL = "a e i o u a e i o u a e i o u ai au ea ee ei eu ie io oo ou ue y á à â ä é è ê í ó ö ú ü œ".split()
+_CODA = "b c ck d ff ft g k l ll lt m mp n nd ng nn nt p pf r rd rr rt s sch ss st t th tt tz x z ß".split() + [""] * 30
+
 
+def _word(rnd: random.Random, most: int = 5) -> str:
+    if rnd.random() < 0.5:
+        return "".join(rnd.choices(_PARTS, k=rnd.randint(1, most)))
+    return "".join(rnd.choice(_ONSET) + rnd.choice(_VOWEL) + rnd.choice(_CODA) for _ in range(rnd.randint(1, most)))
 
-def _word(rng: np.random.Generator, most: int = 5) -> str:
-    return "".join(_PARTS[i] for i in rng.integers(0, len(_PARTS), rng.integers(1, most + 1)))
 
+def _of(rnd: random.Random, letters: str, least: int, most: int = 0) -> str:
+    return "".join(rnd.choices(letters, k=rnd.randint(least, most or least)))
 
-def _digits(rng: np.random.Generator, n: int) -> str:
-    return "".join(map(str, rng.integers(0, 10, n)))
 
+def _shape(rnd: random.Random, shape: str) -> str:
+    """The shape with # as a digit, @ as a capital and % as any letter or digit."""
+    at = {"#": _DIGIT, "@": _CAPS, "%": _ALNUM}
+    return "".join(rnd.choice(at[c]) if c in at else c for c in shape)
 
-def _value(rng: np.random.Generator, kind: str) -> tuple[str, str, str]:
-    """(before, value, after): what comes with a value but isn't private itself."""
-    d = lambda n: _digits(rng, n)
-    pick = lambda *x: x[int(rng.integers(0, len(x)))]
-    name = lambda: "".join(c for c in _word(rng) if c != "日" and c != "本") or "x"
+
+PHONES = ("+1 (###) 555-####", "+1 (###) 555-####", "+1 (###) 555-####", "+1 (###) 555-####", "+# (###) ###-####", "(###) ###-####", "###-###-####", "###.###.####", "+1 ### ### ####", "+1##########", "+## ## #### ####", "+## # ## ## ## ##", "0# ## ## ## ##", "0#.##.##.##.##", "+## ### #######", "0##/#######", "0##/########", "0## ########", "0### ######", "0#### ######", "+## #### ######", "+## (0)## #######", "### ## ## ##", "+## ### ## ## ##", "+##########", "+###########")
+CARDS = ("################", "################", "################", "################", "#### #### #### ####", "####-####-####-####", "3### ###### #####", "5###############", "4### #### #### ####")
+IDS = ("@@## #### #### #### #### ##", "@@####################", "@@## @@@@ #### #### #### ##", "@@## #### #### #### #### #### ###", "@@################", "###-##-####", "###-##-####", "@@######@", "@@ ## ## ## @", "########@")
+KEYS = ("AKIA@@@@@@@@@@@@@@@@", "ASIA@#@#@@##@@#@@#@@", "AKIA@#@@@##@@#@@@#@@", "ghp_%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%", "gho_%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%", "sk_live_%%%%%%%%%%%%%%%%%%%%%%%%", "sk-%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%", "xoxb-###########-%%%%%%%%%%%%%%%%%%%%%%%%", "AIza%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%", "glpat-%%%%%%%%%%%%%%%%%%%%")
+
+
+def _value(rnd: random.Random, kind: str) -> tuple[str, str, str]:
+    """(before, value, after): what comes with a value but isn't private itself. The commonest forms come more often."""
+    name = lambda: "".join(c for c in _word(rnd) if c not in "日本") or "x"
+    x = rnd.random()
     if kind == "email":
-        user = pick(lambda: f"{name()}.{d(2)}", lambda: f"{name()}.{d(2)}", lambda: f"{name()}{pick('.', '_', '-', '+')}{name()}", lambda: f"{name()}{d(int(rng.integers(0, 4)))}")()
-        host = pick(lambda: f"mail{d(1)}.example.com", lambda: f"mail{d(1)}.example.com", lambda: f"{pick('mail', 'post', 'web')}{d(1)}.{name()}.{pick('com', 'org', 'net', 'de', 'fr', 'es')}", lambda: f"{name()}.{pick('com', 'org', 'net', 'io', 'de')}")()
-        return pick("", "", "", "mailto:", "<"), f"{user}@{host}", ""
+        user = f"{name()}.{_of(rnd, _DIGIT, 2)}" if x < 0.4 else f"{name()}{rnd.choice('._-+')}{name()}" if x < 0.75 else f"{name()}{_of(rnd, _DIGIT, 0, 4)}"
+        y = rnd.random()
+        end = rnd.choice(("com", "com", "org", "net", "io", "de", "fr", "es", "it", "nl", "co.uk", "ac.uk", "com.au", "co.jp", "gov.br", "edu", "info"))
+        host = f"mail{_of(rnd, _DIGIT, 1)}.example.com" if y < 0.4 else f"{rnd.choice(('mail', 'post', 'web', 'smtp'))}{_of(rnd, _DIGIT, 0, 1)}.{name()}.{end}" if y < 0.6 else f"{name()}.{name()}.{end}" if y < 0.7 else f"{name()}-{name()}.{end}" if y < 0.75 else f"{name()}.{end}"
+        return rnd.choice(("", "", "", "", "mailto:", "<")), f"{user}@{host}", ""
     if kind == "phone":
-        return "", pick(lambda: f"+1 ({d(3)}) 555-{d(4)}", lambda: f"+1 ({d(3)}) 555-{d(4)}", lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"+{d(2)} {d(2)} {d(4)} {d(4)}")(), ""
+        return rnd.choice(("", "", "", "", "", "tel:", "Tel. ", "phone: ", "fax ")), _shape(rnd, rnd.choice(PHONES)), ""
     if kind == "card":
-        return "", pick(lambda: d(16), lambda: d(16), lambda: d(16), lambda: " ".join(d(4) for _ in range(4)), lambda: "-".join(d(4) for _ in range(4)))(), ""
+        return rnd.choice(("", "", "", "", "card ", "card: ")), _shape(rnd, rnd.choice(CARDS)), ""
     if kind == "ip":
-        return "", ".".join(str(x) for x in rng.integers(0, 256, 4)), pick("", "", "", "", f":{rng.integers(80, 9000)}")
-    hexa = "".join(pick(*"0123456789abcdef") for _ in range(int(pick(40, 40, 40, 32, 64))))
-    return pick(('token = "', '"'), ('token = "', '"'), ('token = "', '"'), ("api_key: ", ""), ('secret="', '"'), ("", ""))[0], hexa, ""
-
-
-def _harmless(rng: np.random.Generator) -> str:
-    d = lambda a, b: _digits(rng, int(rng.integers(a, b)))
-    forms = [lambda: d(1, 9), lambda: f"{d(1, 4)}.{d(1, 3)}", lambda: f"{d(1, 2)}.{d(1, 3)}.{d(1, 3)}", lambda: f"20{d(2, 3)}-{d(2, 3)}-{d(2, 3)}", lambda: f"{d(2, 3)}:{d(2, 3)}", lambda: f"${d(1, 5)}.{d(2, 3)}", lambda: f"{d(1, 3)}%", lambda: f"Licensed under CC BY-NC {d(1, 2)}.0.", lambda: f"version {d(1, 2)}.", lambda: f"@{_word(rng)}", lambda: f"({d(1, 4)})", lambda: f"https://site{d(1, 4)}.example.com/{_word(rng)}/{d(1, 6)}", lambda: f"{d(1, 4)},{d(3, 4)}", lambda: f"{_word(rng)}-{d(1, 4)}", lambda: f'token = {_word(rng)}', lambda: f"#{d(1, 6)}"]
-    return forms[int(rng.integers(0, len(forms)))]()
+        if x < 0.25:
+            parts = [_of(rnd, _HEX, 1, 4) for _ in range(8)]
+            if x < 0.15:
+                a = rnd.randint(1, 5)
+                return "", ":".join(parts[:a]) + "::" + ":".join(parts[rnd.randint(a + 1, 7) :]), ""
+            return "", ":".join(parts), ""
+        return rnd.choice(("", "", "", "", "ip ", "host ")), ".".join(str(rnd.randint(0, 255)) for _ in range(4)), rnd.choice(("", "", "", "", f":{rnd.randint(80, 9000)}"))
+    if kind == "id":
+        return rnd.choice(("", "", "", "IBAN ", "SSN ", "id ", "IBAN: ")), _shape(rnd, rnd.choice(IDS)), ""
+    label = lambda *names: rnd.choice(names) + rnd.choice((": ", "=", " = ", ' = "', '="'))
+    if x < 0.5:
+        return rnd.choice(('token = "', 'token = "', 'token = "', "api_key: ", 'secret="', "key=", "")), _of(rnd, _HEX, rnd.choice((40, 40, 40, 32, 64))), ""
+    if x < 0.7:
+        return rnd.choice(("", "", label("key", "token", "api_key"))), _shape(rnd, rnd.choice(KEYS)), ""
+    if x < 0.78:
+        return rnd.choice(("", "", "Bearer ", "token: ")), f"eyJ{_of(rnd, _ALNUM + '-_', 15, 30)}.eyJ{_of(rnd, _ALNUM + '-_', 20, 40)}.{_of(rnd, _ALNUM + '-_', 20, 43)}", ""
+    if x < 0.86:
+        return label("secret", "token", "secret_key", "access_key"), _of(rnd, _ALNUM + "/+", 24, 44) + rnd.choice(("", "", "=", "==")), ""
+    word = rnd.choice((lambda: name() + _of(rnd, _DIGIT, 1, 4), lambda: name().capitalize() + _of(rnd, "!#$%&*?", 1, 2) + _of(rnd, _DIGIT, 1, 4), lambda: _of(rnd, _ALNUM + "!#$%&*?", 8, 16), lambda: name().capitalize() + _of(rnd, _DIGIT, 2, 4) + _of(rnd, "!#$%&*?", 1, 1)))()
+    return label("password", "password", "Password", "passwd", "pwd", "pass", "Passwort", "passphrase"), word if len(word) >= 6 else word + _of(rnd, _DIGIT, 6), ""
+
+
+def _harmless(rnd: random.Random) -> str:
+    d = lambda a, b=0: _of(rnd, _DIGIT, a, b)
+    forms = (
+        lambda: d(1, 8), lambda: d(1, 8), lambda: f"{d(1, 3)}.{d(1, 2)}", lambda: f"{d(1)}.{d(1, 2)}.{d(1, 2)}", lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"${d(1, 4)}.{d(2)}", lambda: f"{d(1, 2)}%",
+        lambda: f"Licensed under CC BY-NC {d(1)}.0.", lambda: f"{rnd.choice(('version', 'v', 'release', 'build', 'Version'))} {d(1, 2)}.{d(1, 2)}.{d(1, 2)}{rnd.choice(('', f'.{d(1, 2)}'))}", lambda: f"version {d(1)}.", lambda: f"@{_word(rnd)}", lambda: f"({d(1, 3)})", lambda: f"https://site{d(1, 3)}.example.com/{_word(rnd)}/{d(1, 5)}",
+        lambda: f"{d(1, 3)},{d(3)}", lambda: f"{_word(rnd)}-{d(1, 3)}", lambda: f"token = {_word(rnd)}", lambda: f"#{d(1, 5)}", lambda: f"{rnd.choice(('commit', 'commit', 'revision', 'rev', 'sha', 'merge'))} {_of(rnd, _HEX, rnd.choice((40, 40, 40, 7, 10)))}", lambda: f"{rnd.choice(('sha256', 'sha1', 'md5', 'checksum', 'digest'))}{rnd.choice((':', ' ', ': '))}{_of(rnd, _HEX, rnd.choice((64, 40, 32)))}",
+        lambda: f"{d(4)}-{d(4)}", lambda: f"{rnd.choice(('password', 'token', 'key', 'secret', 'email', 'phone', 'card'))} {_word(rnd)}", lambda: f"the {rnd.choice(('password', 'secret', 'key', 'pass'))} is {_word(rnd)}", lambda: f"{d(1, 2)}/{d(1, 2)}/20{d(2)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"{d(1, 3)} {d(3)} {d(3)}", lambda: f"id {d(1, 6)}", lambda: f"ISBN {d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
+    )
+    return rnd.choice(forms)()
 
 
 def examples(n: int, length: int = TRAIN_LENGTH, seed: int = SEED) -> tuple[list[str], list[list[tuple[int, int, str]]]]:
     """Texts of `length` characters and their labelled spans (start, end, kind). Each is the beginning or the end of a
     longer one, cut where no value is."""
-    rng = np.random.default_rng(seed)
+    rnd = random.Random(seed)
     texts, labelled = [], []
     while len(texts) < n:
-        style, parts, spans, at = rng.integers(0, 8), [], [], 0
-        plain = rng.random() < 0.15
+        style, parts, spans, at = rnd.randint(0, 7), [], [], 0
+        plain = rnd.random() < 0.3
         while at < length + 40:
-            x, kind = rng.random(), None
+            x, kind = rnd.random(), None
             before = after = ""
-            if x < (0.0 if plain else 0.16):
-                kind = KINDS[1 + int(rng.integers(0, len(KINDS) - 1))]
-                before, value, after = _value(rng, kind)
+            if x < (0.0 if plain else 0.15):
+                kind = rnd.choice(KINDS[1:])
+                before, value, after = _value(rnd, kind)
                 after = ('"' if before.endswith('"') else ">" if before == "<" else "") + after
-            elif x < (0.1 if plain else 0.26):
-                value = _harmless(rng)
+            elif x < (0.1 if plain else 0.27):
+                value = _harmless(rnd)
             else:
-                value = _word(rng)
-                if rng.random() < 0.1:
+                value = _word(rnd)
+                if rnd.random() < 0.1:
                     value = value.capitalize()
             if style == 1:
                 before, value, after = before.upper(), value.upper(), after.upper()
@@ -317,20 +368,20 @@ def examples(n: int, length: int = TRAIN_LENGTH, seed: int = SEED) -> tuple[list
             if style == 1:
                 tail += "!!"
             elif style == 2:
-                tail += ("###", "$$$", "%%%", "&&&", "***")[int(rng.integers(0, 5))]
-            elif rng.random() < 0.2:
-                tail += (".", ".", ",", ";", ":", ")", "?")[int(rng.integers(0, 7))]
-            gap = " | " if style == 3 else "\n" if rng.random() < 0.05 else " "
+                tail += rnd.choice(("###", "$$$", "%%%", "&&&", "***"))
+            elif rnd.random() < 0.2:
+                tail += rnd.choice((".", ".", ",", ";", ":", ")", "?"))
+            gap = " | " if style == 3 else "\n" if rnd.random() < 0.05 else " "
             if kind:
                 spans.append((at + len(before), at + len(before) + len(value), kind))
             parts.append(before + value + tail + gap)
             at += len(parts[-1])
         text = "".join(parts)
-        if rng.random() < 0.8:
+        if rnd.random() < 0.8:
             text = text.rstrip()
-            if rng.random() < 0.5 and text[-1].isalpha():
+            if rnd.random() < 0.5 and text[-1].isalpha():
                 text += "."
-        cut = 0 if rng.random() < 0.5 else len(text) - length
+        cut = 0 if rnd.random() < 0.5 else len(text) - length
         if any(a < edge < b for a, b, _ in spans for edge in (cut, cut + length)):
             continue
         texts.append(text[cut : cut + length])
@@ -339,74 +390,78 @@ def examples(n: int, length: int = TRAIN_LENGTH, seed: int = SEED) -> tuple[list
 
 
 def _steps(model: Model, ids: np.ndarray, gold: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Loss for each window and gradients of the arrays, for symbols and tags (T, B), all windows of one length."""
+    """Loss for each window and gradients of the arrays, for symbols and tags (T, B), all windows of one length. Both
+    directions go at once, the second over the symbols in reverse."""
     steps, many = ids.shape
     hidden, k = model.back[0].shape[1], len(model.bias)
-    states = []
-    for way, order in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
-        h, c = np.zeros((hidden, many), np.float32), np.zeros((hidden, many), np.float32)
-        gate, cell, hid = np.empty((steps, 4 * hidden, many), np.float32), np.empty((steps, hidden, many), np.float32), np.empty((steps, hidden, many), np.float32)
-        for t in order:
-            g = model.table[way][:, ids[t]] + model.back[way] @ h
-            g /= 1 + np.abs(g)
-            g[: 3 * hidden] *= 0.5
-            g[: 3 * hidden] += 0.5
-            c = g[hidden : 2 * hidden] * c + g[:hidden] * g[3 * hidden :]
-            h = g[2 * hidden : 3 * hidden] * (c / (1 + np.abs(c)))
-            gate[t], cell[t], hid[t] = g, c, h
-        states.append((gate, cell, hid))
-    both = np.concatenate([states[0][2], states[1][2]], axis=1)
-    scores = np.einsum("kh,thb->tkb", model.out, both, optimize=True) + model.bias[:, None]
+    back = np.stack(model.back)
+    both_ways = (ids, ids[::-1])
+    gate = np.stack([np.take(t, own, axis=1) for t, own in zip(model.table, both_ways, strict=True)]).transpose(2, 0, 1, 3).copy()
+    cell, hid = np.empty((steps, 2, hidden, many), np.float32), np.empty((steps, 2, hidden, many), np.float32)
+    h, c = np.zeros((2, hidden, many), np.float32), np.zeros((2, hidden, many), np.float32)
+    for t in range(steps):
+        g = gate[t]
+        g += back @ h
+        g /= 1 + np.abs(g)
+        s = g[:, : 3 * hidden]
+        s *= 0.5
+        s += 0.5
+        c = np.multiply(g[:, hidden : 2 * hidden], c, out=cell[t])
+        c += g[:, :hidden] * g[:, 3 * hidden :]
+        h = np.divide(c, 1 + np.abs(c), out=hid[t])
+        h *= g[:, 2 * hidden : 3 * hidden]
+    both = np.concatenate([hid[:, 0], hid[::-1, 1]], axis=1)
+    scores = (model.out @ both + model.bias[:, None]).astype(np.float64)
     trans = model.trans.astype(np.float64)
-    alpha, beta = np.empty((steps, k, many)), np.zeros((steps, k, many))
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-    alpha[0] = scores[0] + model.start[:, None]
-    for t in range(1, steps):
-        alpha[t] = lse(alpha[t - 1][:, None] + trans[:, :, None], 0) + scores[t]
-    for t in range(steps - 2, -1, -1):
-        beta[t] = lse(trans[:, :, None] + (scores[t + 1] + beta[t + 1])[None], 1)
-    z = lse(alpha[-1], 0)
-    marginal = np.exp(alpha + beta - z)
-    pair = np.exp(alpha[:-1, :, None] + trans[None, :, :, None] + (scores[1:] + beta[1:])[:, None] - z).sum(axis=(0, 3))
-    cols = np.arange(many)
-    path = scores[np.arange(steps)[:, None], gold, cols].sum() + model.start[gold[0]].sum() + trans[gold[:-1], gold[1:]].sum()
-    loss = float(z.sum() - path) / many
-    d_scores = marginal
-    d_scores[np.arange(steps)[:, None], gold, cols] -= 1
+    # forward and backward sums, scaled at each step to one
+    top = scores.max(axis=1)
+    odds, move = np.exp(scores - top[:, None]), np.exp(trans)
+    alpha, beta, size = np.empty((steps, k, many)), np.ones((steps, k, many)), np.empty((steps, many))
+    for t in range(steps):
+        a = odds[t] * (move.T @ alpha[t - 1] if t else np.exp(model.start.astype(np.float64))[:, None])
+        size[t] = a.sum(axis=0)
+        alpha[t] = a / size[t]
+    ahead = np.empty((steps, k, many))
+    for t in range(steps - 1, 0, -1):
+        ahead[t] = odds[t] * beta[t] / size[t]
+        beta[t - 1] = move @ ahead[t]
+    pair = move * np.einsum("tib,tjb->ij", alpha[:-1], ahead[1:], optimize=True)
+    cols, at = np.arange(many), np.arange(steps)[:, None]
+    path = scores[at, gold, cols].sum() + model.start[gold[0]].sum() + trans[gold[:-1], gold[1:]].sum()
+    loss = float(np.log(size).sum() + top.sum() - path) / many
+    d_scores = alpha * beta
+    d_scores[at, gold, cols] -= 1
     d_scores = (d_scores / many).astype(np.float32)
-    d_trans = pair.copy()
-    np.add.at(d_trans, (gold[:-1].ravel(), gold[1:].ravel()), -1)
+    np.add.at(pair, (gold[:-1].ravel(), gold[1:].ravel()), -1)
     d_out = np.einsum("tkb,thb->kh", d_scores, both, optimize=True)
-    d_both = np.einsum("kh,tkb->thb", model.out, d_scores, optimize=True)
+    d_both = model.out.T @ d_scores
+    d_hid = np.stack([d_both[:, :hidden], d_both[::-1, hidden:]], axis=1)
+    i, f, o, g = (gate[:, :, x * hidden : (x + 1) * hidden] for x in range(4))
+    bent = 1 + np.abs(cell)
+    before = np.zeros_like(cell)
+    before[1:] = cell[:-1]
+    slope = lambda x: 0.5 * (1 - np.abs(2 * x - 1)) ** 2
+    by_cell = np.concatenate([slope(i) * g, slope(f) * before], axis=2), (1 - np.abs(g)) ** 2 * i
+    by_out, through = slope(o) * cell / bent, o / bent**2
+    d_gate, turned = np.empty_like(gate), back.transpose(0, 2, 1).copy()
+    dh, dc = np.zeros((2, hidden, many), np.float32), np.zeros((2, hidden, many), np.float32)
+    for t in range(steps - 1, -1, -1):
+        dh = dh + d_hid[t]
+        dc = dc + dh * through[t]
+        d = d_gate[t]
+        np.multiply(dc, by_cell[0][t, :, :hidden], out=d[:, :hidden])
+        np.multiply(dc, by_cell[0][t, :, hidden:], out=d[:, hidden : 2 * hidden])
+        np.multiply(dh, by_out[t], out=d[:, 2 * hidden : 3 * hidden])
+        np.multiply(dc, by_cell[1][t], out=d[:, 3 * hidden :])
+        dh = turned @ d
+        dc = dc * f[t]
     tables, backs = [], []
-    flat = ids.ravel().astype(np.int64)
-    for way, (gate, cell, hid) in enumerate(states):
-        order = range(steps - 1, -1, -1) if way == 0 else range(steps)
-        dh, dc = np.zeros((hidden, many), np.float32), np.zeros((hidden, many), np.float32)
-        d_gate, d_back = np.empty_like(gate), np.zeros_like(model.back[way])
-        for t in order:
-            prev = t - 1 if way == 0 else t + 1
-            has = 0 <= prev < steps
-            i, f, o, g = (gate[t, x * hidden : (x + 1) * hidden] for x in range(4))
-            dh = dh + d_both[t, way * hidden : (way + 1) * hidden]
-            size = 1 + np.abs(cell[t])
-            dc = dc + dh * o / size**2
-            d = d_gate[t]
-            d[:hidden] = dc * g * 0.5 * (1 - np.abs(2 * i - 1)) ** 2
-            d[hidden : 2 * hidden] = dc * cell[prev] * 0.5 * (1 - np.abs(2 * f - 1)) ** 2 if has else 0
-            d[2 * hidden : 3 * hidden] = dh * cell[t] / size * 0.5 * (1 - np.abs(2 * o - 1)) ** 2
-            d[3 * hidden :] = dc * i * (1 - np.abs(g)) ** 2
-            if has:
-                d_back += d @ hid[prev].T
-            dh, dc = model.back[way].T @ d, dc * f
-        rows = d_gate.transpose(1, 0, 2).reshape(4 * hidden, -1)
+    for way, own in enumerate(both_ways):
+        rows = d_gate[:, way].transpose(1, 0, 2).reshape(4 * hidden, -1)
+        flat = own.ravel().astype(np.int64)
         tables.append(np.stack([np.bincount(flat, r, SYMBOLS) for r in rows]).astype(np.float32))
-        backs.append(d_back)
-    return loss, [*tables, *backs, d_out, d_scores.sum(axis=(0, 2)), (d_trans / many).astype(np.float32), d_scores[0].sum(axis=1)]
+        backs.append(np.einsum("tgb,thb->gh", d_gate[1:, way], hid[:-1, way], optimize=True))
+    return loss, [*tables, *backs, d_out, d_scores.sum(axis=(0, 2)), (pair / many).astype(np.float32), d_scores[0].sum(axis=1)]
 
 
 def fit(texts: list[str], spans: list[list[tuple[int, int, str]]], steps: int = STEPS, batch: int = TRAIN_BATCH, rate: float = RATE, hidden: int = HIDDEN, seed: int = SEED) -> Model:
@@ -436,7 +491,19 @@ def fit(texts: list[str], spans: list[list[tuple[int, int, str]]], steps: int =
 
 
 @lru_cache(maxsize=1)
-def trained() -> Model:
+def fitted() -> Model:
     """The model of the standard settings; made once in a process, the same each time."""
-    return fit(*examples(STEPS * TRAIN_BATCH // 4))
-
+    return fit(*examples(TRAIN_ROWS))
+
+
+def trained(spark: SparkSession) -> Model:
+    """The model of the standard settings, from the shared folder if any session has put it there, else fitted and put
+    there. Its name follows from the settings and this module's text, so another version doesn't take it for its own."""
+    where = f"{shared_dir(spark).rstrip('/')}/tidemark-pii-{hashlib.md5(Path(__file__).read_bytes()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        made = [(k, list(a.shape), a.astype(np.float32).tobytes()) for k, a in enumerate(fitted().arrays())]
+        spark.createDataFrame(made, "k int, shape array<int>, raw binary").coalesce(1).write.mode("overwrite").parquet(where)
+    rows = sorted(spark.read.parquet(where).collect())
+    arrays = [np.frombuffer(r["raw"], np.float32).reshape(r["shape"]).copy() for r in rows]
+    return Model(arrays[:2], arrays[2:4], *arrays[4:])
