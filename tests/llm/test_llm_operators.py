@@ -376,14 +376,44 @@ def test_samples_agree_as_often_as_vectors_are_alike():
 
 def test_minhash_on_odd_rows(spark, odd):
     got = minhash.deduplicated(odd)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert got.columns == odd.columns  # all that the caller has
     rows = sorted([(r["doc_id"] is not None, r["doc_id"] or 0, (r["text"] or "")[:9]) for r in got.collect()])
     assert [x[:2] for x in rows] == [(False, 0), (False, 0), (True, 2), (True, 3), (True, 4), (True, 5), (True, 6), (True, 2**60 + 1)]
     assert minhash.deduplicated(odd.limit(0)).count() == 0
     keys = spark.range(5000).withColumn("h", F.xxhash64("id"))
     test = may_hold(keys, F.col("h"))
     assert keys.where(test("h")).count() == 5000 and spark.range(10_000, 20_000).where(test(F.xxhash64("id"))).count() < 600
-    assert may_hold(keys, F.col("h"), most_bytes=10) is None
+    small = may_hold(keys, F.col("h"), most_bytes=16)  # lets others pass, but misses none
+    assert keys.where(small("h")).count() == 5000
+    assert spark.range(50).where(may_hold(keys.limit(0), F.col("h"))(F.xxhash64("id"))).count() == 0
+
+
+def test_minhash_on_a_hot_group(spark):
+    """Equal texts by the thousand, near copies of one another and a chain, with ties and nulls between."""
+    rng = np.random.default_rng(12)
+    hot = " ".join(f"h{k}" for k in range(60))
+    near = [hot.replace("h59", f"n{k}") for k in range(80)]
+    chain = [" ".join(f"c{i}" for i in range(k * 6, k * 6 + 40)) for k in range(12)]
+    texts = [hot] * 400 + near + chain + [" ".join(f"x{v}" for v in rng.integers(0, 10**6, 30)) for _ in range(100)] + [None, "", "..."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("*", F.lit(1).alias("node"), F.lit(2).alias("root"), F.lit(3).alias("keys"))
+    distinct = list(dict.fromkeys(t for t in texts if t and "x" not in t and t != "..."))
+    counts = {t: texts.count(t) for t in distinct}
+    every = brute_groups(texts)
+    for how in ({}, {"chunk_bytes": 1500, "task_bytes": 2000, "block_bytes": 20_000}):
+        got = {r["node"]["i"]: r["root"]["i"] for r in minhash.groups(df, **how).collect()}
+        assert len(got) == len(texts) and counts[hot] == 400
+        assert [got[k] for k in range(480)] == [0] * 480 == every[:480]
+        assert [got[k] for k in range(480, 492)] == every[480:492]
+        assert all(got[k] == k for k in range(492, len(texts)))
+
+
+def test_op5_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").toPandas()
+    want = brute_groups(docs["text"].tolist())
+    got = {r["doc_id"]: r for r in minhash.op5_minhash(spark, DATA).collect()}
+    ids = docs["doc_id"].tolist()
+    assert {i: got[i]["group_id"] for i in ids} == {i: ids[want[k]] for k, i in enumerate(ids)}
+    assert all(r["keep"] == (r["doc_id"] == r["group_id"]) for r in got.values()) and len(got) == len(ids)
 
 
 def test_components(spark):
@@ -488,19 +518,70 @@ def test_pii_on_documents(spark, odd):
             assert r["text"] == r["was"]
     assert hit >= 0.98 * (hit + missed) > 0 and extra <= 0.01 * len(got)
     rows = {r["doc_id"]: r for r in pii.redact(odd).collect()}
+    assert pii.masked(odd).columns == odd.columns and {r["pii_spans"] for r in pii.masked(odd).collect()} == {7}
     assert rows[2]["text"] is None and rows[3]["text"] == "" and rows[2]["pii_spans"] == [] and len(rows) == 8
     assert pii.redact(odd.limit(0)).count() == 0
 
 
-def test_pii_joins_a_span_across_windows():
-    filler = "the one and of " * 60
-    text = filler[:740] + " mail thione.42@mail7.example.com and " + filler
+def test_pii_joins_a_span_across_windows(spark):
+    filler = "the one and of " * 90
+    text = filler[:996] + " mail thione.42@mail7.example.com and " + filler
     chars, off = pii.symbols(*text_bytes(pa.array([text])))
-    spans = [(a, b, k) for _, a, b, k in pii.spans_of(pii.tag(pii.trained(), chars, off), off)]
+    spans = [(a, b, k) for _, a, b, k in pii.spans_of(pii.tag(pii.trained(spark), chars, off), off)]
     assert [text[a:b] for a, b, _ in pii.reconciled(text, spans)] == ["thione.42@mail7.example.com"]
     assert pii.reconciled("a 1234567 b 1234567c 1234567", [(2, 9, 3)]) == [(2, 9, 3), (21, 28, 3)]
 
 
+def marked(model, *texts):
+    """What is found in each text: (value, kind)."""
+    chars, off = pii.symbols(*text_bytes(pa.array(texts)))
+    found = [[] for _ in texts]
+    for d, a, b, k in pii.spans_of(pii.tag(model, chars, off), off):
+        found[d].append((a, b, k))
+    return [[(t[a:b], pii.KINDS[k]) for a, b, k in pii.reconciled(t, s)] for t, s in zip(texts, found, strict=True)]
+
+
+PRIVATE = [
+    "Call me at 01 42 68 53 00 tomorrow, or write.", "Berlin office 030/1234567 is open", "ring +44 20 7946 0958 today", "pay with 4111 1111 1111 1111 today", "server 192.168.10.254 is down",
+    "The host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 answers.", "mail jane.doe@cs.cam.ac.uk today", "user john_smith+news@gmail.com wrote", "IBAN DE89 3704 0044 0532 0130 00 please pay", "My SSN is 078-05-1120, thanks",
+    "ghp_16C7e42F292c6912E7710c838347Ae178B4a leaked", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U was the token", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+]
+VALUES = ["01 42 68 53 00", "030/1234567", "+44 20 7946 0958", "4111 1111 1111 1111", "192.168.10.254", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "jane.doe@cs.cam.ac.uk", "john_smith+news@gmail.com", "DE89 3704 0044 0532 0130 00", "078-05-1120", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", PRIVATE[11].split()[0], PRIVATE[12].split()[-1]]
+HARMLESS = [
+    "we use version 10.2.31.4 of it", "fixed in commit 9fceb02d0ae598e95dc970b74767f19372d61af8 by them", "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855 of the file", "The meeting is on 12.05.2023, room 101.",
+    "order 4839201 shipped, total $45.99", "He said the password is secret and left.", "Call me Ishmael. Some years ago, never mind how long precisely, having little or no money.",
+]
+
+
+def test_pii_of_forms_not_in_training(spark):
+    """Sentences and values from elsewhere: the training makes up all of its own."""
+    model = pii.trained(spark)
+    found = marked(model, *PRIVATE)
+    assert sum(v in [x for x, _ in f] for v, f in zip(VALUES, found, strict=True)) >= len(VALUES) - 1
+    assert sum(bool(f) for f in marked(model, *HARMLESS)) <= 1
+    texts, spans = pii.examples(600, seed=77)  # drawn anew
+    chars, off = pii.symbols(*text_bytes(pa.array(texts)))
+    tags = pii.tag(model, chars, off)
+    hit = [bool((tags[off[j] + a : off[j] + b] > 0).all()) for j, own in enumerate(spans) for a, b, _ in own]
+    assert np.mean(hit) > 0.9
+
+
+def test_pii_keeps_its_model_in_the_shared_folder(spark, monkeypatch):
+    first = pii.trained(spark)
+    monkeypatch.setattr(pii, "fitted", lambda: 1 / 0)
+    assert all((a == b).all() for a, b in zip(first.arrays(), pii.trained(spark).arrays(), strict=True))
+
+
+def test_op7_is_redact_on_all_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op7_pii(spark, DATA).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, want in zip(texts, marked(pii.trained(spark), *texts.values()), strict=True):
+        assert [(texts[i][s["start"] : s["end"]], s["kind"]) for s in got[i]["pii_spans"]] == want
+        assert len(got[i]["text"]) == got[i]["n_chars"] and all(v not in got[i]["text"] for v, _ in want)
+
+
 # ---------------------------------------------------------------- 8
 
 

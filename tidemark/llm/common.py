@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -31,18 +33,38 @@ def schema_and(df: DataFrame, **more: str) -> StructType:
 
 
 def documents_of(df: DataFrame) -> DataFrame:
-    """The five columns of documents, in their types; one that is missing is null."""
+    """The five columns of documents, in their types, one that is missing being null; then all other columns of df. Where
+    df has a name twice but for capitals, as Spark compares them, the first stays."""
     have = set(df.columns)
-    return df.select(*[(F.col(f"`{n}`") if n in have else F.lit(None)).cast(t).alias(n) for n, t in DOC_COLUMNS.items()])
+    own = [(F.col(f"`{n}`") if n in have else F.lit(None)).cast(t).alias(n) for n, t in DOC_COLUMNS.items()]
+    seen = set(DOC_COLUMNS)
+    others = [n for n in df.columns if n.lower() not in seen and not seen.add(n.lower())]
+    return df.select(*own, *[F.col(f"`{n}`") for n in others])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in have:
+            n = f"_{n}"
+        out.append(n)
+        have.add(n)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees. Where it is unset (tests, one machine), a temporary one is set."""
+    """The folder in spark.checkpoint.dir, which every executor sees. Where it is unset, a temporary one is set for a
+    session on one machine; on a cluster that is an error, as executors would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
         if not (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isEmpty():
             return own.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(where)
         return where
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -51,50 +73,56 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: it is made once, and a lost executor takes nothing of it along."""
+    """df written to the shared folder and read again: it is made once, and a lost executor takes nothing of it along.
+    Its files go when the driver ends, and sooner by dropped()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
 
 
-BLOOM_BITS, BLOOM_BLOCK, BLOOM_BYTES = 12, 1 << 16, 32 << 20
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that no one will read again."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._tidemark_path)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def may_hold(keys: DataFrame, key: Column, most_bytes: int = BLOOM_BYTES) -> Callable[[Column], Column] | None:
-    """A test, true of every key (bigint) of keys and of few others, by a Bloom filter that every executor gets; None
-    where it would take more than most_bytes. It keeps rows that meet nothing out of the shuffle of an exact join."""
-    spark = keys.sparkSession
-    hashed = keys.select(key.alias("h"))
-    blocks = max(1, -(-hashed.count() * BLOOM_BITS // (8 * BLOOM_BLOCK)))
-    if blocks * BLOOM_BLOCK > most_bytes:
-        return None
+SIEVE_BITS, SIEVE_BYTES, SIEVE_HASHES = 12, 16 << 20, 4
 
-    def bits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = np.zeros(8 * BLOOM_BLOCK, np.uint8)
-        raw[_bloom_bits(pdf["h"].to_numpy(np.int64)).ravel()] = 1
-        return pd.DataFrame({"block": [int(key[0])], "raw": [np.packbits(raw, bitorder="little").tobytes()]})
 
-    made = hashed.withColumn("block", F.pmod("h", F.lit(blocks))).groupBy("block").applyInPandas(bits, "block long, raw binary").collect()
-    whole = np.zeros((blocks, BLOOM_BLOCK), np.uint8)
-    for r in made:
-        whole[r[0]] = np.frombuffer(r[1], np.uint8)
-    sent = spark.sparkContext.broadcast(whole)
+def may_hold(keys: DataFrame, key: Column, most_bytes: int = SIEVE_BYTES) -> Callable[[Column], Column]:
+    """A test, true of every key (bigint) of keys and of few others, by a Bloom filter that every executor gets. It keeps
+    rows that meet nothing out of the shuffle of an exact join. The filter never has more than most_bytes, whatever the
+    number of keys: of more than it is made for it lets more others pass, and the join after it is as exact."""
+    spark = keys.sparkSession
+    hashed = keys.select(key.alias("h"))
+    bits = 64 * min(max(1, -(-hashed.count() * SIEVE_BITS // 64)), max(1, most_bytes // 8))
+    # two numbers under 2^31, so that nothing overflows: SIEVE_HASHES places are (a + k * b) % bits
+    a, b = F.col("h").bitwiseAND(F.lit(2**31 - 1)), F.shiftrightunsigned("h", 33).bitwiseOR(F.lit(1))
+    places = hashed.select(F.explode(F.array(*[(a + b * k) % bits for k in range(SIEVE_HASHES)])).alias("at"))
+    made = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask")).toPandas()  # bits / 64 rows at most
+    whole = np.zeros(bits // 64, np.int64)
+    whole[made["word"].to_numpy(np.int64)] = made["mask"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(whole.view(np.uint8))  # little-endian, so bit i of the words is bit i % 8 of byte i / 8
 
     @F.pandas_udf("boolean")
     def held(h: pd.Series) -> pd.Series:
         x = h.to_numpy(np.int64)
-        at = _bloom_bits(x)
-        return pd.Series(((sent.value[x % blocks, at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
+        a, b = x & np.int64(2**31 - 1), (x.view(np.uint64) >> np.uint64(33)).astype(np.int64) | 1
+        out = np.ones(len(x), bool)
+        for k in range(SIEVE_HASHES):
+            at = (a + b * k) % bits
+            out &= (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(out)
 
     return held
 
 
-def _bloom_bits(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.stack([(mix64(h.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(45)).astype(np.int64) for k in range(4)])
-
-
 def portable_words(text: Column) -> Column:
     """Lower-case runs of letters and digits, by expressions that DuckDB has too; none for null."""
     flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))

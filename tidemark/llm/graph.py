@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,8 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before, now = None, state(e)
     while now != before and now[0]:
-        e = stored(star(star(e, True), False), "star")
+        last, e = e, stored(star(star(e, True), False), "star")
         before, now = now, state(e)
+        dropped(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -21,10 +21,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, may_hold, mix64, pick, read, shared_dir, stored, text_bytes, text_chunks, word_hashes
+from tidemark.llm.common import documents_of, dropped, fresh, may_hold, mix64, pick, read, shared_dir, stored, text_bytes, text_chunks, word_hashes
 from tidemark.llm.graph import components
 
 WIDTH, RARE, THRESHOLD, BANDS, ROWS, SEED = 3, 0.0, 0.5, 20, 3, 11  # RARE: a share of documents below which shingles weigh the same
@@ -271,10 +271,12 @@ def _node() -> F.Column:
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, rare: float = RARE, task_bytes: int = TASK_BYTES, chunk_bytes: int = CHUNK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, n, root) of every document: node is its id and its text's hash, n how many rows it has, root the least
-    node of its group. Groups are joined by pairs whose similarity is the threshold at least and that share a band.
+    node of its group. Groups are joined by pairs whose similarity is the threshold at least, among documents that bands
+    link, directly or by others.
 
     Texts without words (null and empty ones too) are in groups of their own. A null id counts as the least of bigints.
-    An empty table gives no rows.
+    Texts of any length are compared whole; rows of the same id and text are one document, and lie in one block. Columns
+    besides doc_id and text are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -302,19 +304,22 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
 
     signed = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(sign, f"node {NODE}, size long, some boolean, p long, q long, keys array<long>")
     signed = stored(signed, "signed")
-    same = Window.partitionBy("p", "q").orderBy("node")
-    lined = signed.where("some").withColumn("least", F.first("node").over(same)).withColumn("nth", F.row_number().over(same))
-    lined = stored(lined.select("node", "least", "size", "nth", F.when(F.col("nth") == 1, F.col("keys")).alias("keys")), "lined")
-    equal = lined.where("nth > 1 AND node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    banded = lined.where("nth = 1").select("node", F.explode("keys").alias("key"))
-    linked = banded.withColumn("least", F.min("node").over(Window.partitionBy("key"))).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    # of equal vectors the least document stands for all; grouped minima are combined before the shuffle
+    least = signed.where("some").groupBy("p", "q").agg(F.min("node").alias("least"))
+    lined = signed.where("some").join(least, ["p", "q"]).select("node", "least", "size", F.when(F.col("node") == F.col("least"), F.col("keys")).alias("keys"))
+    lined = stored(lined, "lined")
+    equal = lined.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    banded = lined.where("node = least").select("node", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
+    linked = banded.join(shared, "key").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     parts = components(linked)
     members = parts.select(F.col("node").alias("node"), "root").unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
-    members = members.join(lined.where("nth = 1").select("node", "size"), "node")
+    members = members.join(lined.where("node = least").select("node", "size").distinct(), "node")
     bulk = members.groupBy("root").agg(F.sum("size").alias("bytes"))
     members = stored(members.join(bulk, "root").withColumn("chunks", F.ceil(F.col("bytes") / chunk_bytes).cast("int")), "members")
     small = members.where("chunks <= 1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = int(max(1, -(-small // task_bytes)))
+
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ri", "rh", "i", "h"], kind="stable").reset_index(drop=True)
         component = pdf.groupby(["ri", "rh"], sort=False).ngroup().to_numpy()
@@ -331,8 +336,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
             w += [weight[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table([own.column("node").cast(_ARROW_NODE), pa.array(s, pa.binary()), pa.array(w, pa.binary())], ["node", "s", "w"])
 
-    if maybe := may_hold(members, F.xxhash64("node")):
-        texts = texts.where(maybe(F.xxhash64("node")))  # only texts to verify are shuffled
+    texts = texts.where(may_hold(members, F.xxhash64("node"))(F.xxhash64("node")))  # texts that have nothing to meet stay where they are
     compared = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(weighed, f"node {NODE}, s binary, w binary"), "vectors")
     repeated = not signed.groupBy("node").count().where("count > 1").limit(1).isEmpty()
 
@@ -351,7 +355,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     large = members.where("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     heads = large.select("root", "chunks").distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     chunked = large.select("node", "root", task("chunk")).unionByName(heads.select(F.col("root").alias("node"), "root", task("chunk"))).distinct()
-    edges = stored(verified(whole.unionByName(chunked)), "verified")
+    edges = found = stored(verified(whole.unionByName(chunked)), "verified")
     if not large.limit(1).isEmpty():
         # what isn't joined to the root by now is compared with every chunk; the rest is one group already
         marked = large.join(components(edges).withColumnRenamed("root", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
@@ -363,26 +367,29 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         against = large.join(share, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", task("chunk", "part"))
         edges = edges.unionByName(verified(loose.unionByName(against).distinct()))
     roots = components(equal.unionByName(edges))
+    dropped(known, lined, members, compared, found)
     every = signed.groupBy("node").agg(F.count("*").alias("n"))
     return every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The documents without all but one of each group, the one of the least id (ties by hash of the text); of repeated
-    rows one stays, those without words too."""
+    rows one stays, those without words too.
+
+    Texts that are null, empty or without words, of any ids, are like no other. Null ids come before all others. Whole texts
+    are compared, of any length. All columns of docs stay, whatever their names. An empty table gives no rows.
+    """
     own = documents_of(docs)
     found = stored(groups(own, **how), "groups")
-    keyed = own.withColumn("_node", _node())
-    copies = found.where("node <> root").select(F.col("node").alias("_node"))
-    if maybe := may_hold(copies, F.xxhash64("_node")):
-        tested = keyed.withColumn("_maybe", maybe(F.xxhash64("_node")))  # only texts that may go are shuffled
-        out = tested.where("_maybe").join(copies, "_node", "left_anti").unionByName(tested.where("NOT _maybe")).drop("_maybe")
-    else:
-        out = keyed.join(copies, "_node", "left_anti")
-    again = found.where("node = root AND n > 1").select(F.col("node").alias("_node"))
+    node, may = fresh(own, "node", "may")
+    keyed = own.withColumn(node, _node())
+    copies = found.where("node <> root").select(F.col("node").alias(node))
+    tested = keyed.withColumn(may, may_hold(copies, F.xxhash64(node))(F.xxhash64(node)))  # texts that surely stay are not shuffled
+    out = tested.where(F.col(may)).join(copies, node, "left_anti").unionByName(tested.where(~F.col(may))).drop(may)
+    again = found.where("node = root AND n > 1").select(F.col("node").alias(node))
     if not again.limit(1).isEmpty():
-        once = out.join(again, "_node", "left_semi").dropDuplicates(["_node"])
-        out = out.join(again, "_node", "left_anti").unionByName(once)
+        once = out.join(again, node, "left_semi").dropDuplicates([node])
+        out = out.join(again, node, "left_anti").unionByName(once)
     return out.select(*own.columns)
 
 

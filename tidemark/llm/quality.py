@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, mix64, pick, read, schema_and, text_bytes, text_chunks, word_hashes
+from tidemark.llm.common import documents_of, fresh, mix64, pick, read, schema_and, text_bytes, text_chunks, word_hashes
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST, L2 = 60, 4, 64, 0.2, 10, 1.0
@@ -149,14 +149,15 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees
     return fit(x[order], got["quality"].to_numpy()[order])
 
 
-def score(docs: DataFrame, model: Trees, keep: float | None = None) -> DataFrame:
-    """docs with a column `score` (any of that name is replaced); with keep, only rows of that score at least.
+def score(docs: DataFrame, model: Trees, keep: float | None = None, name: str = "score") -> DataFrame:
+    """docs with a column `name` (any of that name is replaced); with keep, only rows of that score at least.
 
-    A null text is scored as an empty one. Repeated rows score alike; an empty table gives no rows.
+    A null text is scored as an empty one, texts of any length whole. Repeated rows score alike; an empty table gives no
+    rows. Other columns of docs stay.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "score"]
+    names = [*docs.columns, name]
 
     def each(batches):
         for batch in batches:
@@ -164,13 +165,17 @@ def score(docs: DataFrame, model: Trees, keep: float | None = None) -> DataFrame
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names)
             yield out if keep is None else out.filter(pa.array(p >= keep))
 
-    return docs.mapInArrow(each, schema_and(docs, score="double"))
+    return docs.mapInArrow(each, schema_and(docs, **{name: "double"}))
 
 
 def kept(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The documents that the classifier, fitted on these documents' labels, does not reject."""
+    """The documents that the classifier, fitted on these documents' labels, does not reject.
+
+    Null and empty texts are scored like others; where no document has a label all stay. All columns of docs stay,
+    whatever their names; repeated rows stay or go together; an empty table gives no rows.
+    """
     own = documents_of(docs)
-    return score(own, trained(own, labels), keep).select(*own.columns)
+    return score(own, trained(own, labels), keep, *fresh(own, "score")).select(*own.columns)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
