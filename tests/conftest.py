@@ -34,7 +34,7 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     """Columns by name, values as text in one form, rows sorted."""
 
     def one(v: object) -> str:
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, pd.Timestamp):
             return v.isoformat() if v != v.normalize() else v.date().isoformat()
