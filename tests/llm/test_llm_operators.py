@@ -4,7 +4,9 @@ tables and columns with clashing names."""
 import itertools
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from conftest import DATA, normal
@@ -27,13 +29,59 @@ def odd(spark):
     return spark.createDataFrame(rows, DOCS).select("*", *[F.lit(7).alias(c) for c in clash])
 
 
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """Tables in which each operator has something to find, with nulls, ties, repeated rows and clashing columns."""
+    where, rng = str(tmp_path_factory.mktemp("planted")), np.random.default_rng(21)
+    texts = near_copies() + [t for _, t in ODD if t is None or len(t) < 1000]
+    items = [" ".join(f"b{k}w{i}" for i in range(60)) for k in range(4)]
+    texts += [texts[0] + " " + items[0], items[1] + " " + texts[9], " ".join(items[2].split()[:40]), "mail jane.42@mail3.example.com or +1 (415) 555-0134 now"]
+    docs = [(None if k % 41 == 40 else k // 2 if k % 50 == 49 else k, t, "en", None if k % 7 == 0 else "hot" if k % 3 else f"s{k % 5}", None if t is None else len(t)) for k, t in enumerate(texts)]
+    docs += [docs[5], docs[5]]
+    spark.createDataFrame(docs, DOCS).select("*", F.lit(3).alias("node"), F.lit("x").alias("h")).write.parquet(f"{where}/documents.parquet")
+    x = rng.standard_normal((80, 16))
+    x[30:] = x[rng.integers(0, 30, 50)] + rng.standard_normal((50, 16)) * rng.uniform(0.0, 0.5, (50, 1))
+    x[70], x[71] = x[3], x[3]
+    spark.createDataFrame([(int(i), [float(y) for y in v], 0) for i, v in enumerate(x.astype(np.float32))], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{where}/embeddings.parquet")
+    hosts = ["a.example.com", "spam-farm.example.net", "x.casino-win.org", "notspam-farm.com"]
+    pages = [(k, None if k % 31 == 30 else f"http://{hosts[k % 4]}/{k % 90}{'y' * (9000 if k == 5 else 1)}", "<p>x</p>") for k in range(300)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{where}/pages.parquet")
+    spark.createDataFrame([(k, t) for k, t in enumerate([*items, None, ""])], "item_id bigint, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(0, 100, 2)], "doc_id bigint, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    return where
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
+    assert len(got)
     assert_frame_equal(normal(got), normal(want))
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_sql_on_planted_rows(spark, planted, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{planted}/{t}.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, planted).toPandas(), con.execute(ORACLES[name]).df()
+    assert len(got)
+    assert_frame_equal(normal(got), normal(want))
+    if name == "op2_embedding_dedup":
+        assert got["links"].sum() > 50 and got["copies"].sum() > 2 and got["class_id"].nunique() < 60
+    if name == "op9_url_filter":
+        assert 0 < got["listed"].sum() < len(got)
+    if name == "op8_containment":
+        assert len(got) >= 3
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_has_all_planted_rows(spark, planted, name):
+    got = QUERIES[name](spark, planted)
+    ids = {r[0] for r in spark.read.parquet(f"{planted}/documents.parquet").select("doc_id").collect()}
+    assert {r[0] for r in got.select("doc_id").collect()} == ids
+
+
 # ---------------------------------------------------------------- 1
 
 
@@ -62,6 +110,56 @@ def test_best_fit_takes_the_fullest_bin():
     assert cost < alone
 
 
+def plain_best_fit(lengths, sizes):
+    """(bin, offset, capacity) of each piece, looking at every bin for each: longest first, the fullest bin that has room
+    (of equals the one filled last), else the size that costs least for what can still come into it."""
+    order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
+    bins, place, clock = [], {}, 0
+    for n, k in enumerate(order):
+        need = lengths[k]
+        fits = [b for b in bins if b["room"] >= need]
+        if fits:
+            b = min(fits, key=lambda b: (b["room"], -b["at"]))
+        else:
+            still = sum(lengths[x] for x in order[n + 1 :])
+            free = sum(b["room"] for b in bins)
+            worth = {}
+            for s in sorted(sizes):
+                if s >= need:
+                    short = sum(x for x in lengths if x <= s - need)
+                    worth[s] = packing.cost(s) / (need + min(s - need, max(0, min(still, short) - free)))
+            s = min(worth, key=lambda s: (worth[s], s))
+            b = {"id": len(bins), "room": s, "used": 0}
+            bins.append(b)
+        place[k] = (b["id"], b["used"])
+        clock += 1
+        b["room"], b["used"], b["at"] = b["room"] - need, b["used"] + need, clock
+    size = [min(s for s in sizes if s >= b["used"]) for b in bins]
+    return [(*place[k], size[place[k][0]]) for k in range(len(lengths))]
+
+
+def test_best_fit_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for n, top, sizes in ((300, 100, (16, 32, 128)), (200, 9, (10,)), (150, 512, (64, 512)), (1, 5, (8,)), (250, 40, (8, 40, 41))):
+        lengths = np.minimum(rng.integers(1, top + 1, n), rng.integers(1, top + 1, n))
+        got = list(zip(*(x.tolist() for x in packing.best_fit(lengths, sizes)), strict=True))
+        assert got == plain_best_fit(lengths.tolist(), sizes)
+
+
+def test_op1_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = packing.op1_packing(spark, DATA).toPandas()
+    texts = docs.select("doc_id", "text").toPandas().set_index("doc_id")["text"]
+    n = texts.fillna("").map(lambda t: len(t.split()))
+    top = max(packing.LENGTHS)
+    pieces = sorted((-w, str(i), k) for i, w in n.items() if w for k in range(-(-w // top)))
+    lengths = [min(-w - k * top, top) for w, _, k in pieces]  # longest documents first, ties by id, as a group is packed
+    want = {(int(i), k): (length, offset, capacity, b) for (_, i, k), length, (b, offset, capacity) in zip(pieces, lengths, plain_best_fit(lengths, packing.LENGTHS), strict=True)}
+    rows = got.dropna(subset=["bin_id"])
+    assert {(r.doc_id, r.piece): (r.length, r.offset, r.capacity, int(r.bin_id.split("-")[1])) for r in rows.itertuples()} == want
+    assert set(got["doc_id"]) == set(n.index) and (got.groupby("doc_id")["length"].sum() == n).all()
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -132,6 +230,38 @@ def test_mix_of_many_sources(spark):
     assert mixing.period_of({}) == mixing.PERIOD
 
 
+def plain_edf(weights, period):
+    """source and block of each slot, looking at every source for each slot."""
+    done = dict.fromkeys(weights, 0)
+    for slot in range(period):
+        ready = [(-(-(done[s] + 1) * period // w), s) for s, w in weights.items() if done[s] < w and done[s] * period // w <= slot]
+        if ready:
+            _, s = min(ready)
+            yield s, done[s], slot
+            done[s] += 1
+
+
+def test_schedule_equals_brute_force_and_keeps_every_document(spark):
+    shares = {f"s{i:04d}": 1.0 + (i % 7) + (i == 3) * 900 for i in range(1200)}
+    period = mixing.period_of(shares)
+    weights = mixing.integer_weights(shares, period)
+    plan = mixing.schedule(weights, period)
+    assert plan == list(plain_edf(weights, period)) and len(plan) == period
+    docs = spark.createDataFrame([(k, f"s{min(k // 3, 1199):04d}" if k < 6000 else None if k < 6003 else "big") for k in range(9000)], "doc_id bigint, source string")
+    got = mixing.mix(docs).toPandas()
+    sizes = got.groupby(got["source"].fillna("null").map(lambda s: s if s == "null" else f"={s}")).size().to_dict()
+    given = {s: n**mixing.ALPHA for s, n in sizes.items()}
+    period = mixing.period_of(given)
+    weights = mixing.integer_weights(given, period)
+    slot = {(s, j): t for s, j, t in plain_edf(weights, period)}
+    assert len(got) == 9000 and got["mix_position"].notna().all() and got["mix_position"].is_unique
+    for r in got.itertuples():
+        s = "null" if r.source is None else f"={r.source}"
+        assert r.mix_block == r.mix_rank // mixing.BLOCK_DOCS
+        assert r.mix_slot == r.mix_block // weights[s] * period + slot[s, r.mix_block % weights[s]]
+    assert mixing.mixed(docs).count() == 9000
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -462,6 +592,16 @@ def test_ring_equals_brute_force(spark, odd):
         sharding.shard(odd, "doc_id", [])
 
 
+def test_ring_moves_few_keys_when_a_shard_comes(spark):
+    keys = spark.range(20_000).select(F.col("id").alias("k"))
+    names = [f"n{i}" for i in range(16)]
+    before = {r[0]: r[2] for r in sharding.shard(keys, "k", names).collect()}
+    after = {r[0]: r[2] for r in sharding.shard(keys, "k", [*names, "new"]).collect()}
+    moved = sum(before[k] != after[k] for k in before)
+    assert moved < 0.3 * len(before)  # 1/17 is the least; modulo would move 16/17
+    assert max(sum(s == n for s in after.values()) for n in [*names, "new"]) <= np.ceil(1.05 * 20_000 / 17)
+
+
 # ---------------------------------------------------------------- 7
 
 PATTERNS = {"email": r"[^\s@|]+@mail\d\.example\.com", "phone": r"\+1 \(\d{3}\) 555-\d{4}", "card": r"(?<!\d)\d{16}(?!\d)", "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", "secret": r'(?i)(?<=token = ")[0-9a-f]{40}(?=")'}
@@ -590,10 +730,20 @@ def test_fingerprints(spark, odd):
     assert got[1]["n_shingles"] == 1 and len(got[1]["sketch"]) == 1 and got[2]["sketch"] == [] and got[4]["n_shingles"] == 0
     assert got[5]["n_shingles"] == 60_000 - 4
     sketches = fingerprints.sketch(odd).withColumn("g", F.lit(1))
-    union = fingerprints.merge(sketches, "g").first()["sketch"]
-    assert union == sorted({h for r in sketches.collect() for h in r["sketch"]})
+    union = {h for r in sketches.collect() for h in r["sketch"]}
+    assert {r["h"] for r in fingerprints.hashes(sketches, "g").collect()} == union
+    merged = fingerprints.merge(sketches.withColumn("g", F.when(F.col("doc_id") > 2, 1)), "g").collect()
+    assert {r["g"]: r["n_shingles"] for r in merged} == {1: sum(r["n_shingles"] for r in sketches.collect() if (r["doc_id"] or 0) > 2), None: 3}
+    assert {r["g"]: r["sketch_size"] for r in merged}[1] == len({h for r in sketches.collect() if (r["doc_id"] or 0) > 2 for h in r["sketch"]})
+    assert fingerprints.merge(sketches.limit(0), "g").count() == 0
     part = spark.createDataFrame([(9, " ".join(LONG.split()[1000:1400]))], "p bigint, text string")
     found = fingerprints.containment(fingerprints.sketch(part, "p"), fingerprints.sketch(odd), "p", "doc_id").collect()
+    rng = np.random.default_rng(6)
+    sets = [sorted({f"{x:03d}" for x in np.minimum(rng.integers(0, 60, 20), rng.integers(0, 60, 20))})[: int(rng.integers(0, 20))] for _ in range(60)]  # small numbers are in most
+    many = spark.createDataFrame([(k, len(x), x) for k, x in enumerate(sets)], "k bigint, n_shingles bigint, sketch array<string>")
+    for least in (0.3, 0.5, 1.0):
+        got = {tuple(r)[:3] for r in fingerprints.containment(many.where("k < 30"), many.where("k >= 30").withColumnRenamed("k", "w"), "k", "w", least).collect()}
+        assert got == {(i, j, len({*sets[i]} & {*sets[j]})) for i in range(30) for j in range(30, 60) if sets[i] and len({*sets[i]} & {*sets[j]}) >= least * len(sets[i])}
     assert [tuple(r)[:2] for r in found] == [(9, 5)] and found[0]["containment"] == 1
     assert fingerprints.sketch(odd.limit(0)).count() == 0
 
@@ -605,12 +755,18 @@ def test_cascade_is_exact(spark):
     urls = spark.range(6000).select(F.col("id").alias("k"), F.concat(F.lit("http://x/"), F.col("id") % 5000).alias("u"), (F.col("id") % 7 == 0).alias("flag"), F.lit(1).alias("listed"), F.lit(2).alias("h1"))
     urls = urls.unionByName(spark.createDataFrame([(None, "http://x/0", None, 1, 2), (7000, None, True, 1, 2)], "k bigint, u string, flag boolean, listed int, h1 int"))
     want = {u for u, f in urls.select("u", "flag").collect() if f and u}
-    for shard_keys, most in ((500_000, 1 << 20), (700, 1 << 20), (700, 0)):
+    for shard_keys, part_rows in ((500_000, 1_000_000), (700, 1_000_000), (700, 50)):
         filters, shards = url_filter.build(urls, "u", F.col("flag"), shard_keys)
-        got = url_filter.probe(urls, "k", "u", filters, shards, most).join(urls.select("k", "u"), "k").collect()
+        got = url_filter.probe(urls, "k", "u", filters, shards, part_rows).join(urls.select("k", "u"), "k").collect()
         assert len(got) == 6001 and all(r["listed"] == (r["u"] in want) for r in got)
     filters, shards = url_filter.build(urls, "u", F.lit(False))
     assert url_filter.probe(urls, "k", "u", filters, shards).where("listed").count() == 0
+    block = spark.createDataFrame([("http://x/7",), ("http://elsewhere/",), (None,), ("http://x/7",)], "anything string")
+    filters, shards = url_filter.build(urls, "u", block)
+    got = url_filter.probe(urls, "k", "u", filters, shards).join(urls.select("k", "u"), "k").collect()
+    assert {r["u"] for r in got if r["listed"]} == {"http://x/7"}
+    hot = urls.limit(1).crossJoin(spark.range(3000).select("id")).withColumn("k", F.col("id"))  # one URL in all rows
+    assert url_filter.probe(hot, "k", "u", filters, shards, 100).count() == 3000
     filters, shards = url_filter.build(urls.limit(0), "u", F.col("flag"))
     assert url_filter.probe(urls.limit(0), "k", "u", filters, shards).count() == 0
 
@@ -636,6 +792,54 @@ def test_trees_equal_a_walk_and_learn():
     assert quality.fit(x[:5], np.zeros(5)).score(x[:2]).max() < 0.5 < quality.fit(x[:0], y[:0]).score(x[:2]).min()
 
 
+def plain_trees(x, y, trees, depth, bins, rate, least, l2):
+    """The scores of the rows after each tree's values, by trying every edge of every feature at every node."""
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]).astype(np.float32)) for f in range(x.shape[1])]
+    total = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        g, h = y - p, p * (1 - p)
+
+        def grow(rows, level):
+            if level == depth:
+                total[rows] += rate * g[rows].sum() / (h[rows].sum() + l2) if len(rows) else 0
+                return
+            best = (1e-6, None, None)
+            for f, own in enumerate(edges):
+                for e in own:
+                    left, right = rows[x[rows, f] <= e], rows[x[rows, f] > e]
+                    if min(len(left), len(right)) >= least:
+                        gain = sum(g[r].sum() ** 2 / (h[r].sum() + l2) for r in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, f, e)
+            _, f, e = best
+            grow(rows if f is None else rows[x[rows, f] <= e], level + 1)
+            grow(rows[:0] if f is None else rows[x[rows, f] > e], level + 1)
+
+        grow(np.arange(len(y)), 0)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_split_search_equals_trying_every_edge():
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((220, 4)).astype(np.float32)
+    x[:, 3] = rng.integers(0, 3, 220)  # ties
+    y = ((x[:, 0] + x[:, 3] > 0.5) ^ (rng.random(220) < 0.1)).astype(float)
+    how = {"trees": 4, "depth": 3, "bins": 16, "rate": 0.3, "least": 8, "l2": 1.0}
+    assert np.allclose(quality.fit(x, y, **how).score(x), plain_trees(x, y, **how), atol=1e-5)
+
+
+def test_op10_equals_trees_fitted_apart(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    x = docs.merge(labels, on="doc_id")
+    stats = quality.statistics(*text_bytes(pa.array(x["text"])))
+    order = np.lexsort((*stats.T[::-1], x["quality"].to_numpy(), x["doc_id"].to_numpy()))
+    model = quality.fit(stats[order], x["quality"].to_numpy()[order])
+    want = dict(zip(docs["doc_id"], model.score(quality.statistics(*text_bytes(pa.array(docs["text"])))), strict=True))
+    got = quality.op10_quality(spark, DATA).toPandas()
+    assert set(got["doc_id"]) == set(want) and all(abs(r.score - want[r.doc_id]) < 2e-6 and r.keep == (r.score >= 0.5) for r in got.itertuples())
+
+
 def test_statistics_equal_counting():
     texts = ["The CAT | sat, the cat 12!", "", None, "é$$"]
     got = dict(zip(quality.FEATURES, quality.statistics(*text_bytes(pa.array(texts))).T, strict=True))

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, pick, read
+from tidemark.llm.common import documents_of, read
 
 ADDED = ("mix_rank", "mix_block", "mix_slot", "mix_position", "in_mix")
 PERIOD, BLOCK_DOCS, ALPHA, BUCKET_ROWS = 1000, 8, 0.5, 20_000
@@ -81,11 +81,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     first slot whose source has no full block left: there the proportions are as promised, with no source repeated.
     Null is a source of its own; weights that name no source of docs are ignored, sources without a weight are out of
     the mix and have no slot. A null id ranks as an empty one; repeated rows rank one after the other. An empty table
-    gives no rows. Columns of docs that are named like those given, or begin with an underscore, are left out.
+    gives no rows. Texts are carried along, not looked at. Columns of docs that are named like those added give way to them;
+    all others stay, whatever their names.
     """
-    spark = docs.sparkSession
-    docs = pick(docs, *[c for c in docs.columns if not c.startswith("_") and c.lower() not in ADDED])
-    d = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    placed, columns = _placed(docs, weights, alpha, period, block_docs, bucket_rows)
+    return placed.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns if c.lower() not in ADDED], *ADDED)
+
+
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, period: int | None, block_docs: int, bucket_rows: int) -> tuple[DataFrame, list[str]]:
+    """(_row, the columns of ADDED): docs' rows, with all of their columns in one so that no name can clash, and those."""
+    spark, columns = docs.sparkSession, docs.columns
+    d = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    d = d.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = {r[0]: r[1] for r in d.groupBy("_source").count().collect()}
     given = {s: float(n) ** alpha for s, n in sizes.items()} if weights is None else {("null" if s is None else f"={s}"): float(x) for s, x in weights.items() if x > 0}
     given = {s: x for s, x in given.items() if s in sizes}
@@ -110,14 +117,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     placed = ranked.join(F.broadcast(plan) if len(table) <= SENT_ROWS else plan, ["_source", "_j"], "left")  # a period's slots, and one row for each source in them
     slot = (F.floor(F.col("mix_block") / F.col("_w")) * period + F.col("_slot")).cast("bigint")
     placed = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("mix_rank") % block_docs)
-    return placed.select(*docs.columns, "mix_rank", "mix_block", "mix_slot", "mix_position", F.coalesce(F.col("mix_slot") < horizon, F.lit(False)).alias("in_mix"))
+    return placed.select("_row", "mix_rank", "mix_block", "mix_slot", "mix_position", F.coalesce(F.col("mix_slot") < horizon, F.lit(False)).alias("in_mix")), columns
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, period: int | None = None, block_docs: int = BLOCK_DOCS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All documents of sources with a weight, sorted by their place in the mix. A source that has run out leaves its
-    slots idle, so the others go on in their proportions among each other; none is dropped."""
-    own = documents_of(docs)
-    return mix(own, **how).where("mix_position IS NOT NULL").orderBy("mix_position").select(*own.columns)
+    slots idle, so the others go on in their proportions among each other; none is dropped.
+
+    Null is a source of its own; null ids, null, empty and long texts and repeated rows are placed like any others. All
+    columns of docs stay, whatever their names. An empty table gives no rows.
+    """
+    placed, columns = _placed(documents_of(docs), weights, alpha, period, block_docs, bucket_rows)
+    return placed.where("mix_position IS NOT NULL").orderBy("mix_position").select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

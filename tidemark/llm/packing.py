@@ -83,8 +83,10 @@ def pack(df: DataFrame, id_col: str, length: Column, sizes: tuple[int, ...] = LE
     """(id_col, piece, start, length, bin_id, offset, capacity).
 
     A document longer than the largest size gives several pieces, start being where each begins in it; whole documents
-    are packed, nothing is cut away. A document without length (null, empty) has one row with null bin, offset and
-    capacity. Repeated rows are packed each for itself, null ids as any other; an empty table gives no rows.
+    are packed, nothing is cut away. A document without length (null, empty, below 0) has one row with null bin, offset and
+    capacity. Repeated rows are packed each for itself, null ids as any other; an empty table gives no rows. Other columns
+    of df, whatever their names, are left out. A group holds ids and lengths of about group_rows rows; rows of the same id
+    and length share one.
     """
     top = max(sizes)
     items = df.select(F.col(f"`{id_col}`").alias("id"), F.greatest(F.coalesce(length.cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES = {**fingerprints.ORACLE, **url_filter.ORACLE, **mixing.ORACLE, **embedding_dedup.ORACLE}
+ORACLES = {**fingerprints.ORACLE, **url_filter.ORACLE, **mixing.ORACLE, **embedding_dedup.ORACLE, **sharding.ORACLE}

@@ -3,22 +3,22 @@
 Level 0 encodes the listed keys; level 1 the keys of the rest of the universe that level 0 takes for listed; level 2
 the listed keys that level 1 takes for such errors; and so on until a level errs on nothing. Keys are spread over
 shards by hash, each with a cascade of its own, so a shard is built in one bounded group and no filter grows with the
-corpus. Filters that fit under a checked size are broadcast and probed where the rows lie, without join or shuffle;
-larger ones meet their shard's keys in a cogroup.
+corpus. A row is probed where its shard's filter is: only its id and two hashes go there, and nothing is joined. A shard
+with very many rows (one URL in a third of all, say) is cut into parts of PART_ROWS, each with a copy of the filter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, read, shared_dir
+from tidemark.llm.common import mix64, pick, read, shared_dir, stored
 
-SHARD_KEYS = 500_000
-BROADCAST_BYTES = 32 << 20
-BLOCKED_HOSTS = ("spam-farm", "cheap-pills", "adult-x")
+SHARD_KEYS, PART_ROWS = 500_000, 1_000_000
+BLOCKED_HOSTS = ("spam-farm", "cheap-pills", "adult-x", "casino-win", "free-bets", "ads-track")
 FILTER_SCHEMA = "shard int, level int, k int, n_bits bigint, bits binary"
 
 
@@ -71,61 +71,50 @@ def _keys(df: DataFrame, key: Column, shards: int, *others: Column) -> DataFrame
     return df.select(*others, F.when(key.isNotNull(), h1).alias("h1"), F.when(key.isNotNull(), h2).alias("h2"), F.pmod(h1, F.lit(shards)).cast("int").alias("shard"))
 
 
-def build(universe: DataFrame, url_col: str, listed: Column, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """The filters of the listed keys over a universe, and the number of shards.
+def build(universe: DataFrame, url_col: str, listed: Column | DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
+    """The filters of the listed keys over a universe, and the number of shards. What is listed is told by a condition on
+    the universe's rows, or by a table, whose first column has the keys; those the universe lacks are added to it.
 
-    Null keys belong to no side. A key in several rows is listed if any row says so; a null flag says no. With no
-    listed key, or an empty universe, there are no filters and nothing is listed.
+    Null keys belong to no side. A key in several rows is listed if any row says so; a null flag says no. Keys may be of
+    any length. With no listed key, or an empty universe, there are no filters and nothing is listed. Other columns of
+    universe are looked at by the condition alone.
     """
-    shared_dir(universe.sparkSession)
     url = F.col(f"`{url_col}`")
-    shards = max(1, -(-universe.select(url).where(url.isNotNull()).count() // shard_keys))
+    if isinstance(listed, DataFrame):
+        flagged = universe.select(url.alias("url"), F.lit(False).alias("listed")).unionByName(listed.select(F.col(f"`{listed.columns[0]}`").alias("url"), F.lit(True).alias("listed")))
+    else:
+        flagged = universe.select(url.alias("url"), F.coalesce(listed, F.lit(False)).alias("listed"))
+    flagged = flagged.where("url IS NOT NULL")
+    shards = max(1, -(-flagged.count() // shard_keys))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         made = build_cascade(pdf["h1"].to_numpy(np.int64), pdf["h2"].to_numpy(np.int64), pdf["listed"].to_numpy(bool))
         return pd.DataFrame([(int(key[0]), i, *x) for i, x in enumerate(made)], columns=["shard", "level", "k", "n_bits", "bits"])
 
-    keys = _keys(universe.where(url.isNotNull()), url, shards, F.coalesce(listed, F.lit(False)).alias("listed"))
+    keys = _keys(flagged, F.col("url"), shards, F.col("listed"))
     keys = keys.groupBy("shard", "h1", "h2").agg(F.max("listed").alias("listed"))
-    return keys.groupBy("shard").applyInPandas(one, FILTER_SCHEMA).checkpoint(), shards
-
-
-def _levels(rows) -> list[tuple[int, int, bytes]]:
-    return [(int(k), int(n), bytes(b)) for _, k, n, b in sorted((r[1], r[2], r[3], r[4]) for r in rows)]
-
-
-def probe(df: DataFrame, id_col: str, url_col: str, filters: DataFrame, shards: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id_col, listed) for each row of df, repeated rows included; a null key is not listed."""
-    spark, url, own = df.sparkSession, F.col(f"`{url_col}`"), F.col(f"`{id_col}`").alias("id")
-    kind = dict(df.select(own).dtypes)["id"]
-    keyed = _keys(df, url, shards, own)
-    size = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        by: dict[int, list] = {}
-        for r in filters.collect():
-            by.setdefault(r[0], []).append(r)
-        sent = spark.sparkContext.broadcast({s: _levels(rows) for s, rows in by.items()})
-
-        @F.pandas_udf("boolean")
-        def listed(h1: pd.Series, h2: pd.Series, shard: pd.Series) -> pd.Series:
-            out = np.zeros(len(h1), bool)
-            known = h1.notna().to_numpy()
-            parts = shard.fillna(-1).to_numpy(np.int64)
-            for s in np.unique(parts[known]):
-                at = np.flatnonzero(known & (parts == s))
-                out[at] = in_cascade(h1.iloc[at].to_numpy(np.int64), h2.iloc[at].to_numpy(np.int64), sent.value.get(int(s), []))
-            return pd.Series(out)
-
-        exact = keyed.select("id", F.col("h1"), F.col("h2"), "shard")
-        return exact.select(F.col("id").alias(id_col), F.when(F.col("h1").isNull(), False).otherwise(listed(F.coalesce("h1", F.lit(0)), F.coalesce("h2", F.lit(0)), F.coalesce("shard", F.lit(0)))).alias("listed"))
-
-    def meet(rows: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
-        made = _levels(levels[["shard", "level", "k", "n_bits", "bits"]].itertuples(index=False, name=None))
-        return pd.DataFrame({"id": rows["id"], "listed": in_cascade(rows["h1"].to_numpy(np.int64), rows["h2"].to_numpy(np.int64), made)})
-
-    named = keyed.where("h1 IS NOT NULL").withColumn("id", F.col("id").cast("string"))  # pandas would make a double of a bigint with nulls
-    met = named.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(meet, "id string, listed boolean").withColumn("id", F.col("id").cast(kind))
-    return met.unionByName(keyed.where("h1 IS NULL").select("id", F.lit(False).alias("listed"))).select(F.col("id").alias(id_col), "listed")
+    return stored(keys.groupBy("shard").applyInPandas(one, FILTER_SCHEMA), "filters"), shards
+
+
+def probe(df: DataFrame, id_col: str, url_col: str, filters: DataFrame, shards: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """(id_col, listed) for each row of df, repeated rows included; a null key is not listed. The answer is exact for keys
+    of the universe that the filters are of; of any other it means nothing. Null ids, long keys and an empty df are as any
+    others; other columns of df, whatever their names, are left out."""
+    kind = dict(df.dtypes)[id_col]
+    keyed = _keys(pick(df, id_col, url_col), F.col(f"`{url_col}`"), shards, F.col(f"`{id_col}`").alias("id"))
+    known = keyed.where("h1 IS NOT NULL")
+    crowded = known.groupBy("shard").count().where(F.col("count") > part_rows).select("shard", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
+    crowded = stored(crowded, "crowded")  # fewer rows than df has part_rows
+    rows = known.join(crowded, "shard", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "h1"), F.coalesce("parts", F.lit(1)))).cast("int"))
+    copies = filters.join(crowded, "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+
+    def meet(rows: pa.Table, levels: pa.Table) -> pa.Table:
+        made = [(r["k"], r["n_bits"], r["bits"]) for r in levels.sort_by("level").to_pylist()]
+        answer = in_cascade(rows.column("h1").to_numpy(), rows.column("h2").to_numpy(), made)
+        return pa.table([rows.column("id"), pa.array(answer)], ["id", "listed"])
+
+    met = rows.select("id", "h1", "h2", "shard", "part").groupBy("shard", "part").cogroup(copies.drop("parts").groupBy("shard", "part")).applyInArrow(meet, f"id {kind}, listed boolean")
+    return met.unionByName(keyed.where("h1 IS NULL").select("id", F.lit(False).alias("listed"))).withColumnRenamed("id", id_col)
 
 
 def host_listed(url: Column) -> Column:
