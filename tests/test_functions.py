@@ -47,7 +47,25 @@ def test_clean(spark):
 
 def test_decode(spark):
     rows = [("中文".encode("gb18030"),), ("plain".encode(),), (b"\xff\xfe\xfa",), (None,)]
-    assert [r[0] for r in values(spark, rows, "b binary", text.decode(F.col("b")))][:2] == ["中文", "plain"]
+    assert [r[0] for r in values(spark, rows, "b binary", text.decode_index(F.col("b")))][:2] == ["中文", "plain"]
+    rows += [("上证指数上涨百分之五".encode(),)]
+    got = [r[0] for r in values(spark, rows, "b binary", text.decode(F.col("b")))]
+    assert got[:2] == ["中文", "plain"] and got[3] is None and got[4] == "上证指数上涨百分之五"
+    named = [("é".encode("latin-1"), "text/html; charset=ISO-8859-1"), ("中文".encode("gb18030"), "text/html; charset=none-such"), ("中".encode(), "text/html"), ("中".encode(), 'a; charset="UTF-8"')]
+    assert [r[0] for r in values(spark, named, "b binary, t string", text.decode(F.col("b"), text.charset_of(F.col("t"))))] == ["é", "中文", "中", "中"]
+
+
+def test_categories(spark):
+    rows = [("blk_gnxw_01",), ("blk_ndxw_01",), ("blk_cjxwlcsh_01",), ("other",), (None,)]
+    assert [r[0] for r in values(spark, rows, "b string", text.category(F.col("b")))] == ["Domestic News", "Domestic News", "Finance·Life", None, None]
+    assert sum(map(len, text.CATEGORIES.values())) == 9
+
+
+def test_image_urls_word_by_word(spark):
+    rows = [("http://a.com/header/x.jpg", False), ("http://p.v.iask.com/x.jpg", False), ("http://a.com/pixel/x.jpg", True), ("http://a.com/?f=x.jpg", True), ("http://a.com/x.jpg/y", True), ("http://a.com/?f=x.jpg&g", False), ("http://pxvxiask.com/x.jpg", True)]
+    assert [r[0] for r in values(spark, rows, "u string, k boolean", urls.is_image_url(F.col("u")))] == [k for _, k in rows]
+    names = [r[0] for r in values(spark, [("http://a.com/a.js",), ("http://a.com/abc.js",), ("http://a.com/.png",)], "u string", urls.image_filename(F.col("u")))]
+    assert names[0].startswith("image_") and names[0].endswith(".jpg") and names[1] == "abc.js" and names[2].endswith(".jpg")
 
 
 def test_urls(spark):

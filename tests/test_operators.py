@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import cli, plans, sinks, streaming
 from tidemark.operators import aggregates, filters, joins, sampling, updates, windows
 from tidemark.schemas import SCHEMAS
-from tidemark.scoring import Lexicon, blur_score, content_ratio, gray, pixels, score, text_lengths, train_head
+from tidemark.scoring import Lexicon, blur_score, content_ratio, gray, has_qr, pixels, score, text_lengths, train_head
 from tidemark.sources import PageSource, files, images, labelled_images, market, page_urls, read_any, table_years, years
 from tidemark.sources.xlsx import build, parse
 
@@ -94,6 +94,51 @@ def test_allocation_sums_to_its_target(spark, sizes, rate):
     assert sum(t for _, _, t in got) == int(np.floor(sum(sizes) * rate))
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=6), st.integers(0, 60), st.sampled_from([0.1, 0.5, 0.9]))
+def test_allocation_equals_passes(spark, sizes, undated, rate):
+    total = sum(sizes) + undated
+    target = int(total * rate)
+    want = [min(round(n / total * target), n) for n in sizes]
+    off = min(target, sum(sizes)) - sum(want)
+    while off:
+        for k in range(len(sizes)):
+            if off > 0 and want[k] < sizes[k]:
+                want[k], off = want[k] + 1, off - 1
+            elif off < 0 and want[k] > 0:
+                want[k], off = want[k] - 1, off + 1
+    df = spark.createDataFrame([(f"s{k}", i) for k, n in enumerate(sizes) for i in range(n)] + [(None, 0)] * undated, "s string, i int")
+    assert [r["take"] for r in sampling.allocation(df, "s", rate).orderBy("s").collect()] == want
+
+
+def test_truth(spark):
+    df = spark.createDataFrame([(0, 0.0, False, "", "0"), (1, 0.5, True, "x", "0"), (None, None, None, None, None)], "i int, d double, b boolean, s string, z string")
+    assert rows(df.select(*[filters.truthy(F.col(c)) for c in df.columns])) == [(False, False, False, False, True), (True,) * 5, (False,) * 5]
+
+
+def test_shuffled_epochs(spark):
+    df = spark.range(50)
+    one, two = ([r["id"] for r in sampling.epoch(df, "id", k).orderBy("position").collect()] for k in (0, 1))
+    assert sorted(one) == sorted(two) == list(range(50)) and one != two
+
+
+def test_heads_and_pairs(spark):
+    df = spark.range(12)
+    assert rows(filters.head_and_more(df, "id")) == [(k, 2) for k in range(10)] and rows(filters.head_and_more(df.where("id < 3"), "id"))[0] == (0, 0)
+    q = spark.createDataFrame([("a", [1, 2]), ("b", []), ("", [1]), ("c", [1]), (None, [1])], "original_id string, images array<int>")
+    f = spark.createDataFrame([("a", ["x"]), ("b", ["x"]), ("", ["x"]), ("c", [])], "original_id string, valid_images array<string>")
+    assert rows(joins.pair_images(q, f)) == [("a", 0, 1, "x")]
+    assert rows(updates.affected(df, F.col("id") < 4, id=F.lit(1))) == [(4, 3)]
+
+
+def test_payloads_and_qr(spark, tmp_path):
+    df = spark.createDataFrame([("a", b"1"), ("b", b"")], "name string, content binary")
+    sinks.write_payloads(df, f"{tmp_path}/p")
+    assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "p").iterdir()) == [("a", b"1"), ("b", b"")]
+    assert [r[0] for r in has_qr(df, lambda b: 1 / len(b) > 0, "content").select("has_qr").collect()] == [True, False]
+    assert not has_qr(df, None).first()["has_qr"]
+
+
 def test_upsert_and_years(spark, tmp_path):
     path = f"{tmp_path}/t"
     old = spark.createDataFrame([(2023, "a", 1), (2024, "b", 1)], "year int, k string, v int")
@@ -107,10 +152,11 @@ def test_upsert_and_years(spark, tmp_path):
 
 def test_files_of_each_kind(spark, tmp_path):
     df = spark.createDataFrame([(date(2024, 1, 2), 1.5, "x&<"), (date(2024, 1, 3), None, "y")], "Date date, v double, s string")
-    for kind in ("csv", "jsonl", "xlsx", "parquet"):
+    for kind in ("csv", "json", "jsonl", "xlsx", "parquet"):
         sinks.write_any(df, f"{tmp_path}/o.{kind}")
         got = market(read_any(spark, f"{tmp_path}/o.{kind}"), "Date").select("Date", "v")
         assert sorted(rows(got)) == [(date(2024, 1, 2), 1.5), (date(2024, 1, 3), None)]
+    assert json.loads(next((tmp_path / "o.json").glob("part-*")).read_text())[1] == {"Date": "2024-01-03", "v": None, "s": "y"}
     assert parse(build(["a"], [(True,), (None,), ("t",)])) == [["a"], [True], [], ["t"]]
 
 
@@ -211,19 +257,21 @@ def test_stream_equals_table(spark, tmp_path):
 
 
 def test_cli(spark, tmp_path):
-    assert cli.chosen(["merge", "requality"], None) == ["requality", "merge"] and cli.chosen(None, ["merge"])[-1] == "text_index"
+    assert cli.chosen(["merge", "requality"], None) == ["requality", "merge"] and cli.chosen(None, ["merge"])[-2:] == ["text_index", "enrich"]
     assert cli.main(["--data", "x", "--steps", "nonsense"]) == 1
     assert len(page_urls("http://x/{day}{edition}", date(2024, 1, 30), date(2024, 2, 1))) == 6
     img = spark.createDataFrame([{"original_id": "a", "image_index": 0, "negative_likelihood": 0.9, "predicted_class": 1, "quality_score": 0.5}], SCHEMAS["image_sentiment"]).withColumn("year", F.lit(2024))
-    news = spark.createDataFrame([{"original_id": "a", "news_date": "2024-01-02"}], SCHEMAS["news_filtered"]).withColumn("year", F.lit(2024))
+    news = spark.createDataFrame([{"original_id": "a", "news_date": "2024-01-02", "content": "x", "has_valid_images": True}, {"original_id": "b", "news_date": "2024-01-02", "content": "", "has_valid_images": True}], SCHEMAS["news_filtered"]).withColumn("year", F.lit(2024))
     quality = spark.createDataFrame([{"original_id": "a", "images": [{"path": "p", "clarity_weight": 0.5, "text_weight": 1.0}]}], SCHEMAS["news_quality"]).withColumn("year", F.lit(2024))
-    texts = spark.createDataFrame([{"original_id": "a", "news_date": "2024-01-02", "sentiment_class": 0, "textneg_likelihood": 0.7}], SCHEMAS["text_sentiment"]).withColumn("year", F.lit(2024))
+    texts = spark.createDataFrame([{"original_id": k, "news_date": "2024-01-02", "sentiment_class": 0, "textneg_likelihood": p} for k, p in (("a", 0.7), ("b", 0.1))], SCHEMAS["text_sentiment"]).withColumn("year", F.lit(2024))
     for name, df in (("image_sentiment", img), ("news_filtered", news), ("news_quality", quality), ("text_sentiment", texts)):
         sinks.write_years(df, f"{tmp_path}/{name}")
-    s = cli.Settings(str(tmp_path), 2024, 2024, output="m.jsonl")
+    sinks.write_any(spark.createDataFrame([(date(2024, 1, 1), 1.0), (date(2024, 1, 2), 2.0)], "Date date, x double"), f"{tmp_path}/market.xlsx")
+    s = cli.Settings(str(tmp_path), 2024, 2024, market=f"{tmp_path}/market.xlsx", output="m.jsonl")
     for name in cli.STEPS:
         cli.STEPS[name](spark, s)
     got = read_any(spark, f"{tmp_path}/m.jsonl").first()
+    assert [r["WeightedPhotoPes"] for r in read_any(spark, f"{tmp_path}/market_with_WeightedPhotoPes.xlsx").orderBy("Date").collect()] == [None, 0.9]
     assert (got["PhotoPes"], got["TextPes_likelihood"]) == (1.0, 0.7)
     assert years(spark, f"{tmp_path}/news_requality").first()["avg_quality_score"] == pytest.approx(0.85)
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.weights import image_weight, is_high, quality_ratio, weighted_score
 from tidemark.operators.aggregates import image_index, text_index
-from tidemark.operators.joins import latest, outer, present, sync_average, with_likelihood
+from tidemark.operators.filters import truthy
+from tidemark.operators.joins import enrich, latest, match_stats, outer, present, sync_average, with_likelihood
 from tidemark.operators.windows import drop_first_returns, fill
 from tidemark.sinks import write_any, write_years
 from tidemark.sources.files import market, read_any, years
@@ -63,10 +64,23 @@ def image_indices(spark: SparkSession, s: Settings) -> None:
 
 
 def text_indices(spark: SparkSession, s: Settings) -> None:
+    news = years(spark, f"{s.data}/news_filtered", s.wanted).where(F.coalesce("has_valid_images", F.lit(False)) & truthy(F.col("content")))
     texts = years(spark, f"{s.data}/text_sentiment", s.wanted).withColumn("avg_quality_score", F.lit(None).cast("double"))
+    texts = texts.join(news.select("year", "original_id"), ["year", "original_id"], "left_semi")  # articles with images and text
     write_years(text_index(sync_average(texts, years(spark, f"{s.data}/news_requality", s.wanted))), f"{s.data}/daily_textpes")
 
 
+def enriched(spark: SparkSession, s: Settings) -> None:
+    """The market's workbook with each index, beside it as {name}_with_{index}.xlsx, and how many days met; none without a market."""
+    if not s.market:
+        return
+    for stage, name in (("daily_photopes", "PhotoPes"), ("daily_textpes", "TextPes")):
+        index = present(years(spark, f"{s.data}/{stage}", s.wanted), "news_date", f"Weighted{name}", name, f"{name}_likelihood")
+        out = enrich(market(read_any(spark, s.market)), index.withColumn("news_date", F.try_to_date(F.col("news_date").cast("string"))))
+        write_any(out.orderBy("Date"), f"{s.market.removesuffix('.xlsx')}_with_{'Weighted' if name == 'PhotoPes' else ''}{name}.xlsx")
+        log.info("%s: %s", name, match_stats(out, f"Weighted{name}").first().asDict())
+
+
 def merge(spark: SparkSession, s: Settings) -> None:
     def days(stage: str, name: str) -> DataFrame:
         df = years(spark, f"{s.data}/{stage}", s.wanted).withColumn("Date", F.try_to_date(F.col("news_date").cast("string"))).dropna(subset=["Date"])
@@ -79,7 +93,7 @@ def merge(spark: SparkSession, s: Settings) -> None:
     write_any(fill(sentiment, "Date", *found).orderBy("Date"), f"{s.data}/{s.output}")
 
 
-STEPS: dict[str, Callable[[SparkSession, Settings], None]] = {"requality": requality, "image_index": image_indices, "text_index": text_indices, "merge": merge}
+STEPS: dict[str, Callable[[SparkSession, Settings], None]] = {"requality": requality, "image_index": image_indices, "text_index": text_indices, "enrich": enriched, "merge": merge}
 
 
 def chosen(steps: list[str] | None, skip: list[str] | None) -> list[str]:

@@ -63,9 +63,57 @@ def percent(part: Column, total: Column) -> Column:
     return F.concat(F.format_number(F.coalesce(F.try_divide(100.0 * part, total), F.lit(0.0)), 2), F.lit("%"))
 
 
+CATEGORIES = {
+    "Domestic News": ("gnxw_01", "ndxw_01"), "Domestic·International Finance": ("cjxwgngjcj_01",), "Finance·Life": ("cjxwlcsh_01",), "Finance·Tech·Auto·Real Estate": ("cjkjqcfc_01",),
+    "Headlines": ("yw_01",), "Stocks·Hong Kong·US Stocks": ("cjxwgpggmg_01",), "Tech·Exploration": ("kjxwkjts_01",), "Tech·Internet": ("kjxwhlw_01",),
+}
+
+
+def category(block: Column) -> Column:
+    """The category of a block of an index page, by its id; null for any other."""
+    pairs = [F.lit(x) for name, blocks in sorted(CATEGORIES.items()) for b in blocks for x in (f"blk_{b}", name)]
+    return F.element_at(F.create_map(*pairs), block)
+
+
+def decode(raw: Column, charset: Column | None = None) -> Column:
+    """Bytes of an article: by the charset that the server named; without one, or with one that is none, by the first of
+    UTF-8 and the encodings of Chinese that takes them all. What no encoding takes is UTF-8 with marks. UTF-8 stays in the
+    JVM; only other bytes go to Python."""
+    named = F.lit(None).cast("string") if charset is None else F.nullif(F.lower(F.trim(charset)), F.lit("utf-8"))
+    plain = F.try_validate_utf8(raw.cast("string"))
+    own = named.isNull() & plain.isNotNull()
+    return F.when(own, plain).otherwise(_decoded(F.when(~own, raw), F.when(~own, named)))
+
+
+def charset_of(content_type: Column) -> Column:
+    """The charset that a Content-Type names; null for none."""
+    return F.nullif(F.regexp_extract(content_type, r"(?i)charset=\s*\"?([^\s;\"]+)", 1), F.lit(""))
+
+
+@F.pandas_udf(StringType())
+def _decoded(raw: pd.Series, charset: pd.Series) -> pd.Series:
+    def one(b: bytes | None, named: str | None) -> str | None:
+        if b is None:
+            return None
+        try:
+            return bytes(b).decode(named, "replace") if named else first(bytes(b))
+        except LookupError:
+            return first(bytes(b))
+
+    def first(b: bytes) -> str:
+        for encoding in ("utf-8", "gb18030"):  # gbk and gb2312 take nothing that gb18030 doesn't
+            try:
+                return b.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+        return b.decode("utf-8", "replace")
+
+    return pd.Series([one(b, n) for b, n in zip(raw, charset, strict=True)], dtype=object)
+
+
 @F.pandas_udf(StringType())
-def decode(raw: pd.Series) -> pd.Series:
-    """Bytes of unknown encoding: the first of ENCODINGS that decodes and shows a Han character, or UTF-8 with marks for
+def decode_index(raw: pd.Series) -> pd.Series:
+    """Bytes of an index page: the first of ENCODINGS that decodes and shows a Han character, or UTF-8 with marks for
     what isn't. Spark itself rejects gb18030."""
 
     def one(b: bytes | None) -> str | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "bmp")
-SKIPPED_PARTS = ("icon", "logo", "avatar", "banner", "advert", "button", "sprite", "pixel", "tracker", "placeholder", "loading", "blank", "qrcode", "thumb", "favicon", "spacer", "badge")
+SKIPPED_PARTS = tuple("ad_ adv_ advertisement avatar background banner button favicon footer header icon loading logo p.v.iask placeholder sidebar thumbnail".split())
 _HOST = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)"
 
 
@@ -26,17 +27,17 @@ def normalize(url: Column) -> Column:
 
 
 def is_image_url(url: Column, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, skipped: tuple[str, ...] = SKIPPED_PARTS) -> Column:
-    """A web address with an image's extension in its path and none of the skipped words in it."""
-    low = F.lower(url)
-    good = low.rlike("^https?://") & F.lower(path(url)).rlike(rf"\.({'|'.join(extensions)})")
-    return F.coalesce(good & ~low.rlike("|".join(skipped)), F.lit(False))
+    """A web address with an image's extension in its path, or at its very end, and none of the skipped words in it."""
+    low, kinds = F.lower(url), "|".join(extensions)
+    good = low.rlike("^https?://") & (low.rlike(rf"\.({kinds})$") | path(low).rlike(rf"\.({kinds})"))
+    return F.coalesce(good & ~low.rlike("|".join(re.escape(s) for s in skipped)), F.lit(False))
 
 
 def image_filename(url: Column) -> Column:
-    """The last part of the path; one that is no file name gives way to a hash of the URL."""
+    """The last part of the path. One of under five characters or without a dot gives way to a hash of the URL, which
+    ends in .jpg: so short a name has no room for an image's extension after a name."""
     base = F.element_at(F.split(path(url), "/"), -1)
-    extension = F.regexp_extract(base, r"(\.[A-Za-z0-9]+)$", 1)
-    hashed = F.concat(F.lit("image_"), F.md5(url), F.when(extension == "", ".jpg").otherwise(extension))
+    hashed = F.concat(F.lit("image_"), F.md5(url), F.lit(".jpg"))
     return F.when((F.length(base) < 5) | ~F.contains(base, F.lit(".")), hashed).otherwise(base)
 
 

@@ -74,6 +74,17 @@ def weight_summary(df: DataFrame, *values: str) -> DataFrame:
     return df.agg(*[f(v).cast("double").alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))])
 
 
+def high_rate(df: DataFrame, score: str, least: float = 0.5) -> DataFrame:
+    """(total, high, percent): how many scores reach the least; 0 percent of none."""
+    high = F.count_if(F.col(score) >= least)
+    return df.agg(F.count("*").alias("total"), high.alias("high"), F.coalesce(F.try_divide(100.0 * high, F.count("*")).cast("double"), F.lit(0.0)).alias("percent"))
+
+
+def distinct_dates(df: DataFrame, date: str, keep: Column) -> DataFrame:
+    """The days of the rows that are kept, in order."""
+    return df.where(keep & F.col(date).isNotNull()).select(date).distinct().orderBy(date)
+
+
 def counts_with_share(df: DataFrame, key: str) -> DataFrame:
     """Rows of each value and their share of all, in percent."""
     counted = df.groupBy(key).agg(F.count("*").alias("n"))
@@ -111,11 +122,13 @@ def trend(df: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
-    """(bin, n) of equal bins from the least to the greatest value, which the last bin holds too; empty bins left out."""
+    """(bin, n) of equal bins from the least to the greatest value, which the last bin holds too; empty bins have 0."""
     ends = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     placed = df.where(F.col(value).isNotNull()).crossJoin(ends)
     at = F.when(F.col("_lo") == F.col("_hi"), F.lit(1)).otherwise(F.least(F.floor((F.col(value) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))) + 1, F.lit(bins)))
-    return placed.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counted = placed.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("_n"))
+    every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counted, "bin", "left").select("bin", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
 def density(df: DataFrame, value: str, points: int = 300, last: Column | None = None) -> DataFrame:

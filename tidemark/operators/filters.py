@@ -12,8 +12,11 @@ LEAST_SIDE, MOST_SIDE, MOST_ASPECT, LEAST_CONTENT, LEAST_BYTES = 150, 4000, 3.0,
 
 
 def truthy(x: Column) -> Column:
-    """Neither null nor empty."""
-    return F.coalesce(x.cast("string") != "", F.lit(False))
+    """Neither null nor empty, nor false, nor a number that is 0."""
+    kind, written = F.typeof(x), x.cast("string")
+    number = kind.isin("tinyint", "smallint", "int", "bigint", "float", "double") | kind.startswith("decimal")
+    there = F.when(kind == "boolean", written == "true").when(number, written.try_cast("double") != 0).otherwise(written != "")
+    return F.coalesce(there, F.lit(False))
 
 
 def size_ok(width: Column, height: Column) -> Column:
@@ -64,3 +67,9 @@ def days_with_null(df: DataFrame, date: str, first: str, last: str) -> DataFrame
 def drop_first(df: DataFrame, order: str) -> DataFrame:
     """Without the first row; for tables by day, whose order one task can hold."""
     return df.withColumn("_n", F.row_number().over(Window.orderBy(order))).where("_n > 1").drop("_n")
+
+
+def head_and_more(df: DataFrame, *order: Column | str, n: int = 10) -> DataFrame:
+    """The first n rows, each with `more`: how many there are besides these."""
+    rest = df.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    return df.orderBy(*order).limit(n).crossJoin(F.broadcast(rest))  # one row

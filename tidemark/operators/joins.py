@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import zip_join
+from tidemark.operators.filters import truthy
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first by the order given, which should be total."""
@@ -85,3 +88,21 @@ def first_existing(df: DataFrame, listing: DataFrame, *candidates: Column, path:
     there = listing.select(F.col(path).alias("_path")).distinct()
     best = each.join(there, "_path").groupBy("_row").agg(F.min_by("_path", "_n").alias("found"))
     return tried.join(best, "_row", "left").drop("_row", "_tried")
+
+
+def pair_images(quality: DataFrame, filtered: DataFrame, scored: str = "images", paths: str = "valid_images") -> DataFrame:
+    """Scored images of an article with their paths by position: (original_id, pos, left_item, right_item) and quality's
+    other columns. Articles without id, without scored images or without paths have no rows; the longer list is cut."""
+    known = filtered.where(F.size(paths) > 0).select("original_id", paths)
+    there = quality.where(truthy(F.col("original_id").cast("string")) & (F.size(scored) > 0))
+    return zip_join(there.join(known, "original_id"), scored, paths)
+
+
+def combined(index: DataFrame, scraped: DataFrame, link: str = "link", url: str = "url") -> DataFrame:
+    """One record for each address of the index that was scraped: title and date of the index where it has them, content,
+    fetch date and image links as scraped, category empty where unknown."""
+    i, s = index.alias("i"), scraped.alias("s")
+    return i.join(s, F.col(f"i.{link}") == F.col(f"s.{url}")).select(
+        F.coalesce("i.title", "s.title").alias("title"), F.coalesce("i.category", F.lit("")).alias("category"), F.coalesce("i.news_date", "s.publish_date").alias("news_date"),
+        "s.content", F.col(f"i.{link}").alias("url"), "s.fetch_date", "s.image_links",
+    )

@@ -33,3 +33,12 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
 def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows that an earlier run hasn't done: those whose key isn't in its table."""
     return df.join(done.select(key), key, "left_anti")
+
+
+def affected(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
+    """(matched, changed): rows for which the condition holds, and those of them in which set_where changes a value."""
+    hit = F.coalesce(condition, F.lit(False))
+    other = F.lit(False)
+    for c, v in values.items():
+        other = other | ~F.col(c).eqNullSafe(v)
+    return df.agg(F.count_if(hit).alias("matched"), F.count_if(hit & other).alias("changed"))

@@ -81,7 +81,7 @@ IMAGE_INDEX = f"""SELECT year(news_date) AS year, news_date, count(*) AS total_i
 
 
 def _image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    build = joins.latest(news(spark, sf_dir).select("original_id", "news_date").where(filters.truthy(F.col("original_id"))), ["original_id"], F.desc("news_date"))
+    build = joins.latest(news(spark, sf_dir).select("original_id", "news_date").where(filters.truthy(F.col("original_id").cast("string"))), ["original_id"], F.desc("news_date"))
     joined = images(spark, sf_dir).select("original_id", "negative_likelihood", "predicted_class", "quality_score").join(build, "original_id")
     return aggregates.image_index(joined.withColumn("year", F.year("news_date")))
 
@@ -192,17 +192,17 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
 
 
-_BAD = "|".join(urls.SKIPPED_PARTS)
-_WITH = "concat(url, CASE page_id % 5 WHEN 0 THEN '/a.jpg' WHEN 1 THEN '/logo.png' WHEN 2 THEN '/x.webp?y=1' WHEN 3 THEN '/b' ELSE '.gif/c' END)"
+_BAD = r"icon|logo|p\.v\.iask|button|banner|avatar|loading|background|ad_|adv_|advertisement|favicon|footer|header|sidebar|thumbnail|placeholder"
+_WITH = "concat(url, CASE page_id % 9 WHEN 0 THEN '/a.jpg' WHEN 1 THEN '/logo.png' WHEN 2 THEN '/x.webp?y=1' WHEN 3 THEN '/b' WHEN 4 THEN '/header/x.jpg' WHEN 5 THEN '/pixel/x.jpg' WHEN 6 THEN '/x?f=y.jpg' WHEN 7 THEN '/a.js' ELSE '.gif/c' END)"
 
 
-@query(f"SELECT page_id, regexp_matches(lower(url), '^https?://') AND regexp_matches(lower({PATH}), '\\.(jpg|jpeg|png|gif|webp|bmp)') AND NOT regexp_matches(lower(url), '{_BAD}') AS valid FROM (SELECT page_id, {_WITH} AS url FROM pages)")
+@query(f"SELECT page_id, regexp_matches(lower(url), '^https?://') AND (regexp_matches(lower(url), '\\.(jpg|jpeg|png|gif|webp|bmp)$') OR regexp_matches(lower({PATH}), '\\.(jpg|jpeg|png|gif|webp|bmp)')) AND NOT regexp_matches(lower(url), '{_BAD}') AS valid FROM (SELECT page_id, {_WITH} AS url FROM pages)")
 def url_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.expr(_WITH).alias("url")).select("page_id", urls.is_image_url(F.col("url")).alias("valid"))
 
 
-@query(f"""SELECT page_id, CASE WHEN length(base) < 5 OR position('.' IN base) = 0 THEN concat('image_', md5(url), CASE WHEN e = '' THEN '.jpg' ELSE e END) ELSE base END AS name
-  FROM (SELECT *, regexp_extract(base, '(\\.[A-Za-z0-9]+)$', 1) AS e FROM (SELECT page_id, url, regexp_extract({PATH}, '([^/]*)$', 1) AS base FROM (SELECT page_id, {_WITH} AS url FROM pages)))""")
+@query(f"""SELECT page_id, CASE WHEN length(base) < 5 OR position('.' IN base) = 0 THEN concat('image_', md5(url), '.jpg') ELSE base END AS name
+  FROM (SELECT page_id, url, regexp_extract({PATH}, '([^/]*)$', 1) AS base FROM (SELECT page_id, {_WITH} AS url FROM pages))""")
 def image_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.expr(_WITH).alias("url")).select("page_id", urls.image_filename(F.col("url")).alias("name"))
 
@@ -454,10 +454,14 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.class_metrics(_predicted(spark, sf_dir), "quality", "predicted"))
 
 
-@query()
+_LEXICON = ("stupid", "idiot", "trash", "worthless", "pathetic", "scum", "loser", "moron", "clown", "disgusting")
+_FOUND = f"len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({', '.join(repr(w) for w in _LEXICON)})))"
+
+
+@query(f"SELECT doc_id, CASE WHEN n > 0 THEN 1 ELSE 0 END AS predicted_class, round(1 / (1 + exp(-n)), 6) AS negative_likelihood FROM (SELECT doc_id, CAST({_FOUND} AS DOUBLE) AS n FROM documents)")
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(d, "doc_id", "text", lambda: Lexicon(("stupid", "idiot", "trash", "worthless", "pathetic", "scum", "loser", "moron", "clown", "disgusting")))
+    return rounded(score(d, "doc_id", "text", lambda: Lexicon(_LEXICON)))
 
 
 # ---------------------------------------------------------------- index statistics
@@ -484,7 +488,7 @@ def index_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIM = "(SELECT value AS v FROM events WHERE value <= (SELECT quantile_cont(value, 0.995) FROM events))"
 
 
-@query(f"SELECT CAST(least(floor((v - lo) * 50 / (hi - lo)) + 1, 50) AS INTEGER) AS bin, count(*) AS n FROM {_TRIM}, (SELECT min(v) AS lo, max(v) AS hi FROM {_TRIM}) GROUP BY 1")
+@query(f"SELECT CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(1, 51) r(b) LEFT JOIN (SELECT least(floor((v - lo) * 50 / (hi - lo)) + 1, 50) AS b, count(*) AS n FROM {_TRIM}, (SELECT min(v) AS lo, max(v) AS hi FROM {_TRIM}) GROUP BY 1) USING (b)")
 def hist50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.histogram(filters.without_tail(images(spark, sf_dir).select("value"), "value"), "value")
 
@@ -584,10 +588,11 @@ def null_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.days_with_null(_merged(spark, sf_dir), "Date", "2000-01-01", LAST).select("Date").orderBy("Date")
 
 
-@query("SELECT year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) IN (1995, 1997, 1998) GROUP BY 1")
+@query("SELECT year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_totalprice")
-    return o.where(F.col("year").isin(1995, 1997, 1998)).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    early, late = o.where("year < 1998"), o.where("year >= 1998")  # two tables of years
+    return early.unionByName(late).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 # ---------------------------------------------------------------- samples
@@ -622,6 +627,62 @@ def category_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.examples(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id")
 
 
+@query("SELECT epoch, event_id, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat(CAST(42 + epoch AS VARCHAR), ':', CAST(event_id AS VARCHAR))), event_id) - 1 AS position FROM events, (SELECT unnest([0, 1]) AS epoch)")
+def shuffled_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id")
+    one = lambda k: sampling.epoch(e, "event_id", k).select(F.lit(k).alias("epoch"), "event_id", "position")
+    return one(0).unionByName(one(1))
+
+
+# ---------------------------------------------------------------- articles, their images and blocks
+
+
+@query("""SELECT l_orderkey AS original_id, n - 1 AS pos, l_partkey, concat('p', CAST(n AS VARCHAR)) AS path FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS n FROM lineitem)
+  JOIN orders ON o_orderkey = l_orderkey WHERE n <= o_orderkey % 4""")
+def pair_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = F.filter(F.array(*[F.when(F.col("o_orderkey") % 4 >= k, F.lit(f"p{k}")) for k in (1, 2, 3)]), lambda p: p.isNotNull())
+    filtered = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("original_id"), paths.alias("valid_images"))
+    found = joins.pair_images(_orders(spark, sf_dir).withColumnRenamed("l_orderkey", "original_id"), filtered)
+    return found.select("original_id", F.col("pos").cast("bigint").alias("pos"), "left_item.l_partkey", F.col("right_item").alias("path"))
+
+
+@query("""SELECT coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END, t) AS title, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END, '') AS category, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END, d) AS news_date,
+  n AS content, o_orderkey AS url, f AS fetch_date, q AS image_links FROM orders JOIN (SELECT l_orderkey, max(l_returnflag) AS t, min(CAST(l_shipdate AS DATE)) AS d, count(*) AS n, max(CAST(l_shipdate AS DATE)) AS f, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def combined_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    index = table(spark, sf_dir, "orders").select(k.alias("link"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("title"), F.when(k % 5 != 0, F.col("o_orderstatus")).alias("category"), F.when(k % 7 != 0, F.col("o_orderdate").cast("date")).alias("news_date"))
+    shipped = F.col("l_shipdate").cast("date")
+    scraped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("url")).agg(F.max("l_returnflag").alias("title"), F.min(shipped).alias("publish_date"), F.count("*").alias("content"), F.max(shipped).alias("fetch_date"), F.sum("l_quantity").alias("image_links"))
+    return joins.combined(index, scraped)
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Headlines' WHEN 1 THEN 'Domestic News' WHEN 2 THEN 'Domestic News' END AS category FROM pages")
+def block_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = F.element_at(F.array(*[F.lit(b) for b in ("blk_yw_01", "blk_gnxw_01", "blk_ndxw_01", "blk_other")]), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", text.category(block).alias("category"))
+
+
+@query("SELECT event_id, value, greatest((SELECT count(*) FROM events WHERE value > 100) - 10, 0) AS more FROM events WHERE value > 100 ORDER BY value DESC, event_id LIMIT 10")
+def failures_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of a list of failures and how many there are besides: the limit is the feature."""
+    return filters.head_and_more(table(spark, sf_dir, "events").where("value > 100").select("event_id", "value"), F.desc("value"), "event_id")
+
+
+@query("SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE value > 100")
+def filtered_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.distinct_dates(images(spark, sf_dir), "day", F.col("value") > 100)
+
+
+@query(f"SELECT count(*) AS total, count(CASE WHEN q >= 0.5 THEN 1 END) AS high, round(100.0 * count(CASE WHEN q >= 0.5 THEN 1 END) / count(*), 6) AS percent FROM {IMAGES}")
+def high_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.high_rate(images(spark, sf_dir), "quality_score"))
+
+
+@query("SELECT count(CASE WHEN source = 'src0' THEN 1 END) AS matched, count(CASE WHEN source = 'src0' AND lang <> 'en' THEN 1 END) AS changed FROM documents")
+def affected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return updates.affected(table(spark, sf_dir, "documents"), F.col("source") == "src0", lang=F.lit("en"))
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -106,6 +106,24 @@ def text_lengths(df: DataFrame, read_text: Callable[[bytes], str] | None, data:
     return df.withColumn("text_length", lengths(data))
 
 
+def has_qr(df: DataFrame, detect: Callable[[bytes], bool] | None, data: str = "data") -> DataFrame:
+    """df with has_qr by a detector of QR codes; false where there is no detector or no image, or where it fails."""
+    if detect is None:
+        return df.withColumn("has_qr", F.lit(False))
+
+    @F.pandas_udf("boolean")
+    def found(raw: pd.Series) -> pd.Series:
+        def one(d: bytes | None) -> bool:
+            try:
+                return d is not None and bool(detect(bytes(d)))
+            except Exception:  # noqa: BLE001  a detector that fails has found nothing
+                return False
+
+        return raw.map(one)
+
+    return df.withColumn("has_qr", found(data))
+
+
 def train_head(df: DataFrame, features: str, label: str):
     """A linear head on feature vectors (array<double>), by Spark's own logistic regression; its model."""
     from pyspark.ml.classification import LogisticRegression

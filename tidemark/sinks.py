@@ -13,11 +13,15 @@ from tidemark.sources.xlsx import write_xlsx
 
 
 def write_any(df: DataFrame, path: str) -> None:
-    """A table by day as one file of CSV, JSON lines or XLSX in a folder of that name, by the extension; CSV otherwise."""
+    """A table by day as one file of CSV, an array of JSON records (.json), JSON lines (.jsonl) or XLSX in a folder of that
+    name, by the extension; CSV otherwise."""
     kind = path.rpartition(".")[2].lower()
     if kind == "xlsx":
         write_xlsx(df, path)
-    elif kind in ("json", "jsonl"):
+    elif kind == "json":
+        records = F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])), {"ignoreNullFields": "false"})
+        df.coalesce(1).agg(records.alias("value")).write.mode("overwrite").text(path)
+    elif kind == "jsonl":
         df.coalesce(1).write.mode("overwrite").option("dateFormat", "yyyy-MM-dd").json(path)
     elif kind == "parquet":
         df.write.mode("overwrite").parquet(path)
@@ -58,15 +62,26 @@ def append_failures(failures: DataFrame, path: str) -> None:
 
 
 def write_payloads(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """Binary contents as files of their own, written by the executors through Hadoop-free local or mounted paths."""
+    """Binary contents as files of their own, written by the executors into a folder that all of them have mounted. The
+    driver leaves a mark there first; an executor that doesn't see it has another disk, and fails instead of writing."""
     from pathlib import Path
 
+    mark = Path(folder, f".{uuid.uuid4().hex}")
+    mark.parent.mkdir(parents=True, exist_ok=True)
+    mark.touch()
+
     def each(rows) -> None:
-        Path(folder).mkdir(parents=True, exist_ok=True)
+        if not mark.exists():
+            raise FileNotFoundError(f"{folder} is not shared with the driver")
         for r in rows:
-            Path(folder, r[name]).write_bytes(bytes(r[content]))
-
-    df.select(name, content).foreachPartition(each)
+            half = Path(folder, f".{uuid.uuid4().hex}")
+            half.write_bytes(bytes(r[content]))
+            half.replace(Path(folder, r[name]))  # whole or not at all, also when a task runs twice
+
+    try:
+        df.select(name, content).foreachPartition(each)
+    finally:
+        mark.unlink(missing_ok=True)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

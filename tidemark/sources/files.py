@@ -10,7 +10,8 @@ from tidemark.functions.dates import parse_any
 from tidemark.operators.joins import with_date_column
 from tidemark.sources.xlsx import read_xlsx
 
-IMAGES = "*.[jJpPgG][pPnNiI]*[gGfF]"
+IMAGES = "*.[jJpPgG][pPnNiI]*[gGfF]"  # what globs can say; IMAGE_NAMES says it exactly
+IMAGE_NAMES = r"(?i)\.(jpg|jpeg|png|gif)$"
 
 
 def years(spark: SparkSession, path: str, wanted: list[int] | None = None, schema: StructType | None = None) -> DataFrame:
@@ -58,11 +59,13 @@ def market(df: DataFrame, date: str = "Date") -> DataFrame:
     return df.select(parse_any(F.col(f"`{date}`").cast("string").substr(1, 10)).alias(date), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in others]).dropna(subset=[date])
 
 
-def files(spark: SparkSession, folder: str, pattern: str = IMAGES) -> DataFrame:
-    """(folder_path, name, path, length) of files below a folder, hidden ones (._*) left out; contents aren't read."""
+def files(spark: SparkSession, folder: str, pattern: str = IMAGES, names: str | None = None) -> DataFrame:
+    """(folder_path, name, path, length) of files below a folder, hidden ones (._*) left out; contents aren't read. names
+    is a regular expression that names must match: without a pattern, that of images' extensions."""
+    names = names or (IMAGE_NAMES if pattern == IMAGES else ".")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "length")
     parts = F.regexp_extract("path", r"^(.*)/([^/]*)$", 1), F.regexp_extract("path", r"^(.*)/([^/]*)$", 2)
-    return found.select(parts[0].alias("folder_path"), parts[1].alias("name"), "path", "length").where(~F.col("name").startswith("."))
+    return found.select(parts[0].alias("folder_path"), parts[1].alias("name"), "path", "length").where(~F.col("name").startswith(".") & F.col("name").rlike(names))
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
