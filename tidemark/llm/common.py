@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -92,6 +93,15 @@ def dropped(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def given_back[T](result: T) -> T:
+    """The result, after freed memory of Arrow and of C's heap has gone back to the system: a worker that is kept for the
+    next stage then holds no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    return result
+
+
 SIEVE_BITS, SIEVE_BYTES, SIEVE_HASHES = 12, 16 << 20, 4
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, dropped, fresh, may_hold, mix64, pick, read, shared_dir, stored, text_bytes, text_chunks, word_hashes
+from tidemark.llm.common import documents_of, dropped, fresh, given_back, may_hold, mix64, pick, read, shared_dir, stored, text_bytes, text_chunks, word_hashes
 from tidemark.llm.graph import components
 
 WIDTH, RARE, THRESHOLD, BANDS, ROWS, SEED = 3, 0.0, 0.5, 20, 3, 11  # RARE: a share of documents below which shingles weigh the same
@@ -184,8 +184,8 @@ def document_frequencies(texts: DataFrame, ranges: int, width: int = WIDTH) -> D
         own = [(k[d > 1], d[d > 1]) for k, d in ((k, df[a:b]) for k, a, b in zip(keys, cut[:-1], cut[1:], strict=True))]
         return pa.table([table.column("block"), pa.array([packed(k) for k, _ in own], pa.binary()), pa.array([d.tobytes() for _, d in own], pa.binary())], ["block", "keys", "df"])
 
-    sent = texts.groupBy("block").applyInArrow(distinct, "block long, range long, keys binary, n binary")
-    return sent.groupBy("range").applyInArrow(summed, "block long, keys binary, df binary")
+    sent = texts.groupBy("block").applyInArrow(lambda key, table: given_back(distinct(key, table)), "block long, range long, keys binary, n binary")
+    return sent.groupBy("range").applyInArrow(lambda table: given_back(summed(table)), "block long, keys binary, df binary")
 
 
 def weights_of(known: pa.Table, n: int, rare: float) -> Weights:
@@ -302,7 +302,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
         return pa.table([own.column("node").cast(_ARROW_NODE), pa.array(size), pa.array(some), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), listed], ["node", "size", "some", "p", "q", "keys"])
 
-    signed = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(sign, f"node {NODE}, size long, some boolean, p long, q long, keys array<long>")
+    signed = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda own, known: given_back(sign(own, known)), f"node {NODE}, size long, some boolean, p long, q long, keys array<long>")
     signed = stored(signed, "signed")
     # of equal vectors the least document stands for all; grouped minima are combined before the shuffle
     least = signed.where("some").groupBy("p", "q").agg(F.min("node").alias("least"))
@@ -337,14 +337,14 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         return pa.table([own.column("node").cast(_ARROW_NODE), pa.array(s, pa.binary()), pa.array(w, pa.binary())], ["node", "s", "w"])
 
     texts = texts.where(may_hold(members, F.xxhash64("node"))(F.xxhash64("node")))  # texts that have nothing to meet stay where they are
-    compared = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(weighed, f"node {NODE}, s binary, w binary"), "vectors")
+    compared = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda own, known: given_back(weighed(own, known)), f"node {NODE}, s binary, w binary"), "vectors")
     repeated = not signed.groupBy("node").count().where("count > 1").limit(1).isEmpty()
 
     def verified(placed: DataFrame) -> DataFrame:
         """Edges (u, v) of the tasks of placed (node, root, task)."""
         met = compared.join(placed, "node").select("task", F.col("root.i").alias("ri"), F.col("root.h").alias("rh"), F.col("node.i").alias("i"), F.col("node.h").alias("h"), "s", "w")
         met = met.dropDuplicates(["task", "i", "h"]) if repeated else met
-        found = met.groupBy("task").applyInPandas(verify, "ui long, uh long, vi long, vh long")
+        found = met.groupBy("task").applyInPandas(lambda pdf: given_back(verify(pdf)), "ui long, uh long, vi long, vh long")
         return found.select(F.struct(F.col("ui").alias("i"), F.col("uh").alias("h")).alias("u"), F.struct(F.col("vi").alias("i"), F.col("vh").alias("h")).alias("v"))
 
     def task(*parts: str) -> F.Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import documents_of, read, schema_and, shared_dir, text_bytes, text_chunks
 
 KINDS = ("none", "email", "phone", "card", "ip", "secret", "id")
-HIDDEN, WINDOW, MARGIN, BATCH, CHUNK = 16, 1024, 64, 2048, 3 << 20
+HIDDEN, WINDOW, MARGIN, BATCH, CHUNK = 16, 1024, 64, 1536, 3 << 19
 STEPS, TRAIN_BATCH, TRAIN_LENGTH, TRAIN_ROWS, RATE, SEED = 900, 96, 128, 24_000, 0.015, 5
 LEAST = 4  # characters of a value of any kind
 SYMBOLS = 128  # ASCII; 127 stands for every character beyond
