@@ -33,13 +33,14 @@ def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix of sources; null is a source of its own."""
+    """All documents, in the order of the mix of sources, which packing keeps; null is a source of its own."""
     return mixing.mixed(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces with their bins: the columns of packing.pack, by the number of words. A document without words has one row, without bin."""
-    return packing.pack(docs, "doc_id", packing.words(F.col("text")))
+    """Each document's pieces with their bins: the columns of packing.pack, by the number of words. A document without words has
+    one row, without bin. Bins are filled from runs of the documents in the order that mixing gave them, and numbered in it."""
+    return packing.pack(docs, "doc_id", packing.words(F.col("text")), group_rows=packing.GROUP_ROWS, ordered=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -8,7 +8,7 @@ from conftest import DATA
 from test_llm_operators import PATTERNS, brute_groups
 
 import corpus_pipeline
-from tidemark.llm import quality
+from tidemark.llm import packing, quality
 from tidemark.llm.common import DOC_COLUMNS, documents_of, stored, text_bytes
 
 
@@ -47,3 +47,28 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_packing_keeps_the_order_of_the_mix(spark, monkeypatch):
+    """Sequences hold runs of the mix, each with the sources in their proportions; without mixing they are others."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 40)
+    rows = [(i, " ".join(["w"] * (1 + i * 37 % 900)), "en", "a" if i < 180 else "b", 0) for i in range(240)] + [(None, "", None, None, 0)]
+    docs = stored(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartitionByRange(7, "doc_id"), "test-docs")
+    mixed = stored(corpus_pipeline.source_mixing(spark, docs, DATA).repartition(1).orderBy("doc_id").unionByName(docs.limit(0)), "test-sorted")  # another order in files
+    order = corpus_pipeline.source_mixing(spark, mixed, DATA)
+    want = [r[0] for r in order.select("doc_id").collect()]
+    packed = corpus_pipeline.sequence_packing(spark, stored(order, "test-mixed"), DATA).toPandas()
+    assert len(packed) >= 241 and sorted(packed["doc_id"].dropna()) == list(range(240))
+    packed = packed.dropna(subset="bin_id")
+    packed[["group", "bin"]] = packed["bin_id"].str.split("-", expand=True).astype(int)
+    at = packed["doc_id"].map({d: k for k, d in enumerate(want) if d is not None})
+    assert (at // 40 == packed["group"]).all()
+    for _, own in packed.assign(at=at).groupby("group"):
+        first = own.groupby("bin")["at"].min()
+        assert first.is_monotonic_increasing and first.index.tolist() == list(range(len(first)))
+    early = packed[packed["group"] == 0]["doc_id"]
+    assert 0.25 < (early >= 180).mean() < 0.5  # b has a share of 0.37 by the roots of 180 and 60, though it is last by id
+    unmixed = corpus_pipeline.sequence_packing(spark, docs, DATA).toPandas()
+    assert set(zip(unmixed["doc_id"], unmixed["bin_id"], strict=True)) != set(zip(packed["doc_id"], packed["bin_id"], strict=True))
+    one = corpus_pipeline.sequence_packing(spark, spark.createDataFrame(rows, docs.schema).coalesce(1), DATA).toPandas()  # rows of no file
+    assert (one.dropna(subset="bin_id")["bin_id"].str.split("-").str[0].astype(int) == one.dropna(subset="bin_id")["doc_id"] // 40).all()

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -93,6 +93,23 @@ def dropped(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_order(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns, made of df's, with place: numbers that rise as df's rows follow each other. Rows read from files follow
+    each other by the number in the file's name that Spark gives the parts of a sorted table, and within a file; those of
+    other tables as they come. The texts are read once; what is kept of them is stored."""
+    files = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    own = [c.alias(n) for n, c in columns.items()]
+    if not files:
+        return in_order(stored(df.select(*own), "rows"), **{n: F.col(n) for n in columns})
+    at = df.metadataColumn("_metadata")
+    rows = stored(df.select(*own, at["file_name"].alias("_name"), at["file_path"].alias("_path"), at["row_index"].alias("_row")), "rows")
+    number = F.regexp_extract("_name", r"^part-(\d+)", 1)
+    held = rows.groupBy("_path").agg(F.first(number).alias("_part"), (F.max("_row") + 1).alias("_held"))
+    # one row for each file: few enough for one task
+    before = held.select("_path", (F.sum("_held").over(Window.orderBy(F.length("_part"), "_part", "_path")) - F.col("_held")).alias("_before"))
+    return rows.join(before, "_path").select(*columns, (F.col("_before") + F.col("_row")).alias("place"))
+
+
 def given_back[T](result: T) -> T:
     """The result, after freed memory of Arrow and of C's heap has gone back to the system: a worker that is kept for the
     next stage then holds no more than it needs."""

@@ -5,7 +5,8 @@ bin size is opened that costs least for what will fill it: its cost over the pie
 as the shorter pieces still to come, less the room already open, can use. At the end each bin is cut down to the
 smallest permitted length that holds its contents.
 
-Documents are packed in groups by hash; a group holds ids and lengths only, and ends with a few bins that are not full.
+Documents are packed in groups, by hash or in the order in which they come; a group holds ids and lengths only, and ends
+with a few bins that are not full.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import in_order, read
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 GROUP_ROWS = 20_000
@@ -79,7 +80,7 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 
 
-def pack(df: DataFrame, id_col: str, length: Column, sizes: tuple[int, ...] = LENGTHS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(df: DataFrame, id_col: str, length: Column, sizes: tuple[int, ...] = LENGTHS, group_rows: int = GROUP_ROWS, ordered: bool = False) -> DataFrame:
     """(id_col, piece, start, length, bin_id, offset, capacity).
 
     A document longer than the largest size gives several pieces, start being where each begins in it; whole documents
@@ -87,22 +88,36 @@ def pack(df: DataFrame, id_col: str, length: Column, sizes: tuple[int, ...] = LE
     capacity. Repeated rows are packed each for itself, null ids as any other; an empty table gives no rows. Other columns
     of df, whatever their names, are left out. A group holds ids and lengths of about group_rows rows; rows of the same id
     and length share one.
+
+    A bin's id is its group's number and its own in the group. Where df's rows are ordered, each group is a run of group_rows
+    of them, groups are numbered as the rows follow each other, and the bins of a group by the first row in each: sequences
+    taken by these numbers keep df's order, but for what best fit moves within a group.
     """
     top = max(sizes)
-    items = df.select(F.col(f"`{id_col}`").alias("id"), F.greatest(F.coalesce(length.cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
-    groups = max(1, -(-df.count() // group_rows))
-    items = items.withColumn("pack_group", F.pmod(F.xxhash64("id", "n"), F.lit(groups)).cast("int"))
+    own = {"id": F.col(f"`{id_col}`"), "n": F.greatest(F.coalesce(length.cast("bigint"), F.lit(0)), F.lit(0))}
+    if ordered:
+        items = in_order(df, **own).withColumn("pack_group", F.floor(F.col("place") / group_rows).cast("bigint"))
+    else:
+        groups = max(1, -(-df.count() // group_rows))
+        items = df.select(*[c.alias(n) for n, c in own.items()]).withColumn("pack_group", F.pmod(F.xxhash64("id", "n"), F.lit(groups)).cast("int"))
+    second = "place" if ordered else "id"
     kind = dict(items.dtypes)["id"]
     named = items.withColumn("id", F.col("id").cast("string"))  # pandas would make a double of a bigint with nulls
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "id"], ascending=[False, True], kind="stable")  # the same bins however the rows came
+        pdf = pdf.sort_values(["n", second], ascending=[False, True], kind="stable")  # the same bins however the rows came
         n = pdf["n"].to_numpy(np.int64)
         parts = np.maximum(1, -(-n // top))
         at = np.repeat(np.arange(len(n)), parts)
         piece = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
         size = np.minimum(n[at] - piece * top, top)
         bins, offset, capacity = best_fit(size, sizes)
+        if ordered and len(bins):
+            rank = np.empty(len(bins), np.int64)
+            rank[np.lexsort((piece, pdf["place"].to_numpy(np.int64)[at]))] = np.arange(len(bins))
+            first = np.full(int(bins.max()) + 1, len(bins))
+            np.minimum.at(first, bins, rank)
+            bins = np.argsort(np.argsort(first))[bins]
         names = np.char.add(f"{int(key[0])}-", bins.astype(str))
         return pd.DataFrame({"id": pdf["id"].iloc[at].to_numpy(), "piece": piece, "start": piece * top, "length": size, "bin_id": names, "offset": offset, "capacity": capacity})
 
