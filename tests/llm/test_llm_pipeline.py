@@ -72,3 +72,10 @@ def test_packing_keeps_the_order_of_the_mix(spark, monkeypatch):
     assert set(zip(unmixed["doc_id"], unmixed["bin_id"], strict=True)) != set(zip(packed["doc_id"], packed["bin_id"], strict=True))
     one = corpus_pipeline.sequence_packing(spark, spark.createDataFrame(rows, docs.schema).coalesce(1), DATA).toPandas()  # rows of no file
     assert (one.dropna(subset="bin_id")["bin_id"].str.split("-").str[0].astype(int) == one.dropna(subset="bin_id")["doc_id"] // 40).all()
+
+
+def test_packing_reads_texts_once(spark):
+    docs = stored(documents_of(spark.read.parquet(f"{DATA}/documents.parquet")), "test-once")
+    packed = corpus_pipeline.sequence_packing(spark, docs, DATA)
+    assert "text" not in packed._jdf.queryExecution().executedPlan().toString()  # lengths were stored: no text is split again
+    assert packed.select("doc_id").distinct().count() == docs.count()

@@ -106,28 +106,35 @@ def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, ma
         return out
     gamma, log_gamma, fine = _quantiles()
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    size = np.diff(np.append(starts, len(doc)))
+    size, own = np.diff(np.append(starts, len(doc))), doc[starts]
     log_w = np.log(weight)
     with np.errstate(over="ignore"):
         base = mix64(shingle)
+        z, half = np.empty_like(base), np.empty_like(base)
         for k in range(many):
-            z = base * np.uint64(2 * k + 3) + np.uint64(seed)
-            z ^= z >> np.uint64(32)
+            np.multiply(base, np.uint64(2 * k + 3), out=z)
+            z += np.uint64(seed)
+            z ^= np.right_shift(z, np.uint64(32), out=half)
             z *= np.uint64(0xD6E8FEB86659FD93)
-            z ^= z >> np.uint64(32)
-            r = gamma[(z >> np.uint64(48)).astype(np.int32)]
-            b = ((z >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.float32) / np.float32(65536)
-            low = (z & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            c = log_gamma[low >> 16]
-            tiny = np.flatnonzero(low < 65536)
+            z ^= np.right_shift(z, np.uint64(32), out=half)
+            low, middle, high, top = z.astype("<u8", copy=False).view("<u2").reshape(-1, 4).T
+            r, c = np.take(gamma, top), np.take(log_gamma, middle)
+            tiny = np.flatnonzero(middle == 0)
             c[tiny] = fine[low[tiny]]
-            t = np.floor(log_w / r + b)
-            a = c - r * (t - b) - r
-            least = np.minimum.reduceat(a, starts)
-            hit = np.flatnonzero(a == np.repeat(least, size))
-            d, first = np.unique(doc[hit], return_index=True)
-            at = hit[first]
-            out[d, k] = mix64(shingle[at] * np.uint64(0x9E3779B97F4A7C15) + t[at].astype(np.int64).view(np.uint64))
+            b = high / np.float32(65536)
+            t = log_w / r
+            t += b
+            np.floor(t, out=t)
+            # a = c - r * (t - b) - r, in place
+            np.subtract(t, b, out=b)
+            b *= r
+            c -= b
+            c -= r
+            least = np.minimum.reduceat(c, starts)
+            at = np.flatnonzero(c == np.repeat(least, size))
+            if len(at) > len(starts):  # of equal ones the first
+                at = at[np.r_[True, doc[at[1:]] != doc[at[:-1]]]]
+            out[own, k] = mix64(shingle[at] * np.uint64(0x9E3779B97F4A7C15) + t[at].astype(np.int64).view(np.uint64))
     return out
 
 

@@ -82,30 +82,33 @@ def _run(model: Model, ids: np.ndarray, active: np.ndarray) -> np.ndarray:
     scores = np.zeros((steps, k, many), np.float32)
     space, spare = np.empty(4 * hidden * many, np.float32), np.empty(4 * hidden * many, np.float32)
     for way, order in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
-        table, back = model.table[way], model.back[way] * np.float32(0.5)
+        # each gate apart, window by window: what is taken of the input's table is whole rows
+        table = np.ascontiguousarray(model.table[way].reshape(4, hidden, -1).transpose(0, 2, 1))
+        back = np.ascontiguousarray((model.back[way] * np.float32(0.5)).reshape(4, hidden, hidden).transpose(0, 2, 1))
         out = np.ascontiguousarray(model.out[:, way * hidden : (way + 1) * hidden]) * np.float32(0.5)
-        h, c = np.zeros((hidden, many), np.float32), np.zeros((hidden, many), np.float32)
+        h, c = np.zeros((many, hidden), np.float32), np.zeros((many, hidden), np.float32)
         for t in order:
             n = int(active[t])
-            g, m = space[: 4 * hidden * n].reshape(4 * hidden, n), spare[: 4 * hidden * n].reshape(4 * hidden, n)
-            hn, cn = h[:, :n], c[:, :n]
-            np.take(table, ids[t, :n], axis=1, out=g, mode="clip")
-            np.matmul(back, hn, out=m)
+            g, m = space[: 4 * hidden * n].reshape(4, n, hidden), spare[: 4 * hidden * n].reshape(4, n, hidden)
+            hn, cn, at = h[:n], c[:n], ids[t, :n].astype(np.intp)
+            for gate in range(4):
+                np.take(table[gate], at, axis=0, out=g[gate], mode="clip")
+                np.matmul(hn, back[gate], out=m[gate])
             g += m
             np.abs(g, out=m)
             m += 1
             g /= m
-            g[: 3 * hidden] += 1
-            cn *= g[hidden : 2 * hidden]
-            g[:hidden] *= g[3 * hidden :]
-            cn += g[:hidden]
-            u = m[:hidden]
+            g[:3] += 1
+            cn *= g[1]
+            g[0] *= g[3]
+            cn += g[0]
+            u = m[0]
             np.abs(cn, out=u)
             u += 2
             np.divide(cn, u, out=hn)
-            hn *= g[2 * hidden : 3 * hidden]
+            hn *= g[2]
             cn *= 0.5
-            scores[t, :, :n] += out @ hn
+            scores[t, :, :n] += out @ hn.T
     for t in range(steps):
         scores[t, :, : active[t]] += model.bias[:, None]
     return scores
