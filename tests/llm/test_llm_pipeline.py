@@ -1,10 +1,12 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 from conftest import DATA
+from pyspark.sql import functions as F
 from test_llm_operators import PATTERNS, brute_groups
 
 import corpus_pipeline
@@ -79,3 +81,19 @@ def test_packing_reads_texts_once(spark):
     packed = corpus_pipeline.sequence_packing(spark, docs, DATA)
     assert "text" not in packed._jdf.queryExecution().executedPlan().toString()  # lengths were stored: no text is split again
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Shuffles of a stage go when it is written, not when the driver comes to collect its garbage."""
+
+    def shuffles():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(name, None), shuffles()
+    out = stored(spark.range(20_000).repartition(5).groupBy((F.col("id") % 1000).alias("k")).count(), "test-shuffles")
+    for _ in range(50):  # they go in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 1000 and spark.conf.get(name, None) == was

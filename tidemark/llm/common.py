@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,12 +74,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written in here leaves no shuffle files: they go from all executors when its query ends, not when the driver
+    comes to collect its garbage. (Spark before 4.1 doesn't know the setting, and keeps them.)"""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: it is made once, and a lost executor takes nothing of it along.
-    Its files go when the driver ends, and sooner by dropped()."""
+    Its files go when the driver ends, and sooner by dropped(); the shuffles that made it go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
