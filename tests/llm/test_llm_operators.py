@@ -3,6 +3,7 @@ tables and columns with clashing names."""
 
 import itertools
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -326,6 +327,31 @@ def plain_step(weights, past, rows, target, rate):
     return count
 
 
+def test_maxent_sums_gradients_without_a_copy_for_each_feature():
+    rng = np.random.default_rng(12)
+    n, classes = maxent.BATCH, maxent.CLASSES
+    rows = rng.integers(0, 2000, (n, maxent.FEATURES)).astype(np.uint16)
+    target = rng.integers(0, classes, n)
+    weights = rng.standard_normal((maxent.CLASS_ROWS, classes)).astype(np.float32)
+    weights[:20] *= 60  # scores beyond what exp can take
+    now, past, touched = weights.copy(), np.zeros(len(weights)), np.zeros(len(weights), np.float32)
+    tracemalloc.start()
+    maxent._descend(now, past, touched, rows, target, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < rows.size * classes * 4
+    p = weights.astype(np.float64)[rows].sum(axis=1)
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), target] -= 1
+    grad, count = np.zeros(weights.shape), np.bincount(rows.ravel(), minlength=len(weights))
+    np.add.at(grad, rows.ravel(), np.repeat(p, maxent.FEATURES, axis=0))
+    hit = np.flatnonzero(count)
+    mean = (grad[hit] ** 2).sum(axis=1) / (count[hit] * classes)
+    assert np.allclose(past[hit], mean, rtol=1e-3) and (touched == count).all()
+    assert np.allclose(now[hit], weights[hit] - 0.1 * grad[hit] / np.sqrt(count[hit] * (mean + 1e-4))[:, None], atol=1e-3)
+
+
 def test_maxent_trains_as_plain_gradient_steps_do(spark):
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{k}" for k in rng.integers(0, 90, int(rng.integers(1, 60)))) for _ in range(40)] + ["", None, "w1"]

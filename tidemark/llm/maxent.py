@@ -28,12 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PIECE, mix64, pick, read, schema_and, shared_dir, stored, text_bytes, text_chunks, word_hashes
+from tidemark.llm.common import PIECE, dropped, mix64, pick, read, schema_and, shared_dir, stored, text_bytes, text_chunks, word_hashes
 
 CLASSES, IN_CLASS, TAIL_CLASSES = 32, 32, 8
 CLASS_ROWS, WORD_ROWS, FEATURES = 1 << 14, 1 << 15, 5
 ROUNDS, BATCH, RATE, SHARD_BYTES = 2, 4096, 0.2, 8 << 20
 BLOCK_ROWS, RUN_BYTES, FAN = 1024, 8 << 20, 64
+FAR = 60  # exp of it, and the sum of as many as a row has, are well within 32 bits
 START = np.uint64(0x5851F42D4C957F2D)  # stands for the words before a text
 
 
@@ -91,11 +92,14 @@ def rows_of(feature: np.ndarray, klass: np.ndarray, model: Model) -> tuple[np.nd
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = np.take(weights, rows[:, 0], axis=0)
+    part = np.empty_like(z)
     for f in range(1, rows.shape[1]):
-        z += np.take(weights, rows[:, f], axis=0)
-    z -= z.max(axis=1, keepdims=True)
+        z += np.take(weights, rows[:, f], axis=0, out=part, mode="clip")  # rows are below the weights' number: nothing is clipped
+    if max(z.max(initial=0), -z.min(initial=0)) > FAR:  # only where exp could leave the range of its type
+        far = np.flatnonzero((np.abs(z) > FAR).any(axis=1))
+        z[far] -= z[far].max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / np.einsum("ij->i", z))[:, None]
     return z
 
 
@@ -112,21 +116,22 @@ def log2_probabilities(model: Model, words: np.ndarray, starts: np.ndarray, batc
     return out
 
 
-def _sums(x: np.ndarray, first: np.ndarray, count: np.ndarray, few: int = 8) -> np.ndarray:
-    """Sums of runs of rows. Most runs are short, and are added up a row of all of them at a time; what long ones have
-    beyond `few` rows is left to reduceat, which is slow only by run."""
-    out = np.take(x, first, axis=0)
+def _sums(x: np.ndarray, of: np.ndarray, first: np.ndarray, count: np.ndarray, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sums) of runs of x[of], the longer runs first; x[of] itself is never made. Most runs are short, and are added
+    up a row of all of them at a time; what long ones have beyond `few` rows is left to reduceat, which is slow only by run."""
+    order = np.argsort((few + 1 - np.minimum(count, few + 1)).astype(np.uint8), kind="stable")
+    first, count = first[order], count[order]
+    longer = np.searchsorted(-np.minimum(count, few + 1), -np.arange(few + 1), "left")  # by k, how many runs have more than k rows
+    out = np.take(x, of[first], axis=0)
     for k in range(1, few):
-        on = np.flatnonzero(count > k)
-        if not len(on):
-            return out
-        out[on] += np.take(x, first[on] + k, axis=0)
-    on = np.flatnonzero(count > few)
-    if len(on):
-        rest = count[on] - few
-        at = np.repeat(first[on] + few - np.cumsum(rest) + rest, rest) + np.arange(int(rest.sum()))
-        out[on] += np.add.reduceat(np.take(x, at, axis=0), np.cumsum(rest) - rest, axis=0)
-    return out
+        if not (n := longer[k]):
+            break
+        out[:n] += np.take(x, of[first[:n] + k], axis=0)
+    if n := longer[few]:
+        rest = count[:n] - few
+        at = np.repeat(first[:n] + few - np.cumsum(rest) + rest, rest) + np.arange(int(rest.sum()))
+        out[:n] += np.add.reduceat(np.take(x, of[at], axis=0), np.cumsum(rest) - rest, axis=0)
+    return order, out
 
 
 def _descend(weights: np.ndarray, past: np.ndarray, touched: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
@@ -137,9 +142,9 @@ def _descend(weights: np.ndarray, past: np.ndarray, touched: np.ndarray, rows: n
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    hit = ordered[first]
     count = np.diff(np.append(first, len(flat)))
-    step = _sums(np.take(grad, order // rows.shape[1], axis=0), first, count)
+    longest, step = _sums(grad, np.repeat(np.arange(len(rows)), rows.shape[1])[order], first, count)
+    hit, count = ordered[first][longest], count[longest]
     touched[hit] += count
     # a row that many positions share moves further, by the root of their number
     seen = past[hit] + np.einsum("ij,ij->i", step, step) / (count * weights.shape[1])
@@ -282,7 +287,9 @@ def trained(docs: DataFrame, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTE
 
         changes = texts.where(F.col("part") == part).repartition("node").sortWithinPartitions("node", "h").select("node", "text")
         changes = changes.mapInArrow(learn, "node long, m int, b int, rows binary, touched binary, change binary")
-        moved = summed(changes, shards).toPandas()  # the model's size
+        kept = stored(summed(changes, shards), "moved")  # the texts that a round shuffled leave no files for the next
+        moved = kept.toPandas()  # the model's size
+        dropped(kept)
         now = (model.by_class.copy(), model.by_word.copy())
         for m, b, total, count in zip(moved["m"], moved["b"], moved["total"], moved["count"], strict=True):
             w = now[m]
