@@ -406,6 +406,29 @@ def test_maxent_sums_changes_in_a_tree(spark):
         maxent.summed(changes.withColumn("node", F.lit(0).cast("long")), 11, 4).collect()
 
 
+def test_maxent_counts_words_without_arrays_of_a_whole_batch(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 2000) % 50_000) for _ in range(1200)] + ["", None, "!!!", "w1 W1 w2"]
+    column, peak = pa.array(texts), 0
+
+    class Texts:
+        """Gives its batches to what would run in a task, and the result as a table."""
+
+        def mapInArrow(self, each, schema):
+            nonlocal peak
+            word_hashes(*text_bytes(column[:9]))  # its table of powers stays
+            tracemalloc.start()
+            found = list(each(iter([pa.record_batch([column], ["text"]), pa.record_batch([column[1200:]], ["text"]), pa.record_batch([column[:0]], ["text"])])))
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return spark.createDataFrame(pa.Table.from_batches(found).to_pandas(), schema)
+
+    got = {r["word"]: r["n"] for r in maxent.word_counts(Texts()).collect()}
+    words, n = np.unique(words_of(*texts, *texts[1200:])[0], return_counts=True)
+    assert got == dict(zip(words.view(np.int64).tolist(), n.tolist(), strict=True))
+    assert column.nbytes > 8 << 20 and peak < 5 * column.nbytes
+
+
 def test_op4_equals_plain_scoring(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r for r in maxent.op4_lm_scoring(spark, DATA).collect()}

@@ -33,7 +33,7 @@ from tidemark.llm.common import PIECE, dropped, mix64, pick, read, schema_and, s
 CLASSES, IN_CLASS, TAIL_CLASSES = 32, 32, 8
 CLASS_ROWS, WORD_ROWS, FEATURES = 1 << 14, 1 << 15, 5
 ROUNDS, BATCH, RATE, SHARD_BYTES = 2, 4096, 0.2, 8 << 20
-BLOCK_ROWS, RUN_BYTES, FAN = 1024, 8 << 20, 64
+BLOCK_ROWS, RUN_BYTES, FAN, COUNTED = 1024, 8 << 20, 64, 8
 FAR = 60  # exp of it, and the sum of as many as a row has, are well within 32 bits
 START = np.uint64(0x5851F42D4C957F2D)  # stands for the words before a text
 
@@ -183,13 +183,27 @@ class Shard:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n): how often each word's hash comes in all the texts."""
+    """(word, n): how often each word's hash comes in all the texts. A task hashes a piece of a batch at a time, however large
+    the batch (a longer text is a piece of its own), and holds the distinct words of COUNTED pieces."""
 
     def each(batches):
+        held = []
+
+        def given():
+            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            count = np.zeros(len(words), np.int64)
+            np.add.at(count, at, np.concatenate([n for _, n in held]))
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count)], ["word", "n"])
+
         for batch in batches:
             data, off = text_bytes(batch.column(0))
-            words, count = np.unique(word_hashes(data, off)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count.astype(np.int64))], ["word", "n"])
+            for i, j in text_chunks(off):
+                held.append(np.unique(word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])[0], return_counts=True))
+                if len(held) == COUNTED:
+                    yield given()
+                    held.clear()
+        if held:
+            yield given()
 
     return texts.mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
