@@ -1,7 +1,12 @@
 """Column functions against values worked out by hand."""
 
 import datetime as dt
+import os
+import re
+import threading
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +109,62 @@ def test_html(spark):
     assert [tuple(x) for x in got[0][0]] == [("nav", "A b", "/a")]
     assert tuple(got[0][1]) == ("T t", "one\ntwo more", ["http://x.com/d/i.png"], "2024-01-02")
     assert got[1][0] == [] and tuple(got[2][1]) == (None, None, None, None)
+
+
+def test_html_links_are_absolute_where_the_page_has_a_url(spark):
+    page = '<nav><a href="/a">1</a><a href="b?c#d">2</a><a href="http://y.com/">3</a></nav>'
+    df = spark.createDataFrame([(1, page, "http://x.com/d/p"), (2, page, None), (3, page, ""), (4, None, "http://x.com"), (5, "<nav><a>none</a></nav>", "http://x.com")], "id int, h string, u string").repartition(1)
+    got = {r[0]: [x["link"] for x in r[1]] for r in df.select("id", html.links(F.col("h"), url=F.col("u"))).collect()}
+    own = ["/a", "b?c#d", "http://y.com/"]
+    assert got == {1: ["http://x.com/a", "http://x.com/d/b?c#d", "http://y.com/"], 2: own, 3: own, 4: [], 5: []}
+
+
+def test_html_results_go_back_by_the_megabyte():
+    pages = ["x" * (html.PIECE // 2), None, "y" * (html.PIECE // 2), "", "z" * (3 * html.PIECE), None]
+    got = list(html.results(iter([(pa.array(pages), pa.array(range(6))), (pa.array([], pa.string()), pa.array([], pa.int64())), (pa.array(["w"]), pa.array([6]))]), lambda p, k: [f"{k}{(p or '-')[:1]}"], pa.list_(pa.string())))
+    assert [x.to_pylist() for x in got] == [[["0x"], ["1-"], ["2y"]], [["3-"], ["4z"]], [["5-"]], [["6w"]]]
+
+
+def workers_mb() -> float:
+    """Anonymous memory of the Python workers that this process's sessions have."""
+    parents = {}
+    for at in Path("/proc").glob("[0-9]*/stat"):
+        try:
+            parents[int(at.parent.name)] = int(at.read_text().rpartition(")")[2].split()[1])
+        except OSError:
+            continue
+    total = 0
+    for pid in parents:
+        up = pid
+        while up in parents and up != os.getpid():
+            up = parents[up]
+        try:
+            if up == os.getpid() and b"pyspark.daemon" in Path(f"/proc/{pid}/cmdline").read_bytes():
+                total += int(re.search(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1])
+        except OSError:
+            continue
+    return total / 1024
+
+
+@pytest.mark.parametrize("what", ["links", "article"])
+def test_html_workers_hold_little_besides_the_batch(spark, what):
+    """20,000 pages of 6 KB are 60 MB a batch; as Python's text, of four bytes a character, they are four times that."""
+    h = F.concat(F.lit('<nav><a href="/a">t</a></nav><article><h1>\U0001f600</h1><p>'), F.repeat(F.lit("ab "), 2000), F.col("id").cast("string"))
+    df = spark.range(0, 20_000, 1, 1).select("id", h.alias("h"))
+    own = F.explode(html.links(F.col("h"))) if what == "links" else html.article(F.col("h"), F.lit("http://x.com"))
+    before, most, over = workers_mb(), 0.0, threading.Event()
+
+    def watch() -> None:
+        nonlocal most
+        while not over.wait(0.02):
+            most = max(most, workers_mb())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        rows = df.select("id", own.alias("a")).agg(F.count("*"), F.sum(F.length(F.col("a.title")))).first()
+    finally:
+        over.set()
+        watcher.join()
+    assert tuple(rows) == (20_000, 20_000)
+    assert 0 < most < before + 260, (before, most)

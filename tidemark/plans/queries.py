@@ -209,8 +209,8 @@ def image_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(html.links(F.col("html"))).alias("a"))
-    return p.select("page_id", "a.block", text.clean(F.col("a.title")).alias("title"), urls.absolute(F.col("url"), F.col("a.link")).alias("link"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"), url=F.col("url"))).alias("a"))
+    return p.select("page_id", "a.block", text.clean(F.col("a.title")).alias("title"), "a.link")
 
 
 @query()
